@@ -76,11 +76,11 @@ def document_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, w
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if with_ids else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for b in batches:
             rows: list[tuple] = []
             for i, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                x = np.append(np.array(ids, "<u4"), np.uint32(end_id)).astype("<u4")
+                x = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
                 for a in range(0, len(x), capacity):
                     y = x[a : a + capacity]
                     rows.append((i, a, len(y), zlib.crc32(y.tobytes()), len(x), *([y.tolist()] if with_ids else [])))

@@ -99,25 +99,24 @@ def write_token_files(df: DataFrame, tokenizer: str, vocabulary: int, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, piece, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        names: list[np.ndarray] = []
-        valid: list[np.ndarray] = []
+        part, piece, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
+        names: list[int] = []
+        valid: list[bool] = []
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(x) for x in held], "i8")
             path = f"{out}/part-{part:06d}-{piece:04d}.ltk"
-            put(path, pack_file(np.concatenate(names), np.concatenate(valid), np.cumsum(lengths) - lengths, np.concatenate(held), width))
+            put(path, pack_file(np.array(names, "i8"), np.array(valid), np.cumsum(lengths) - lengths, np.concatenate(held), width))
             return pa.RecordBatch.from_pydict({"part": [part], "piece": [piece], "path": [path], "n_docs": [len(held)], "n_ids": [int(lengths.sum())]}, schema=told)
 
         for b in batches:
-            ids = [np.append(np.array(x, "u4"), np.uint32(end_id)) for x in encode([t or "" for t in b.column(1).to_pylist()])]
-            for k in range(b.num_rows):
-                names.append(np.array([b.column(0)[k].as_py() or 0], "i8"))
-                valid.append(np.array([b.column(0)[k].is_valid]))
-                held.append(ids[k])
-                size += len(ids[k])
+            for name, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                names.append(name or 0)
+                valid.append(name is not None)
+                held.append(np.append(ids, np.uint32(end_id)))
+                size += len(ids) + 1
                 if size >= SHARD_IDS:
                     yield flush()
                     names, valid, held, size, piece = [], [], [], 0, piece + 1
