@@ -20,7 +20,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,15 +32,24 @@ BLOCK_LINES, DATE = 512, "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES = 32 << 20
 
 
+#: Host, and path with query, of a URL with a scheme. Patterns that Python and Spark read alike.
+HOST, PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)"
+
+
 def url_key(url: str) -> str:
-    """Host labels reversed and comma-joined, then path and query, as sort key: org,example)/a?b."""
-    try:
-        parts = urlsplit(url)
-        host = parts.hostname or ""
-    except ValueError:
+    """Host labels reversed and comma-joined, then path and query, as sort key: org,example)/a?b. A text without a scheme is its own key."""
+    host, rest = re.search(HOST, url), re.search(PATH, url)
+    if not host:
         return url
-    rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    return ",".join(reversed(host.split("."))) + ")" + rest
+    path = rest[1] if rest[1].startswith("/") else f"/{rest[1]}"
+    return ",".join(reversed(host[1].lower().split("."))) + ")" + path
+
+
+def key_column(url: F.Column) -> F.Column:
+    """url_key() as a column."""
+    host, rest = F.regexp_extract(url, HOST, 1), F.regexp_extract(url, PATH, 1)
+    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(url.rlike(HOST), F.concat(F.array_join(F.reverse(F.split(F.lower(host), "[.]")), ","), F.lit(")"), path)).otherwise(url)
 
 
 def record_id(page_id: int | None) -> str:
@@ -130,41 +138,52 @@ class Archive:
         return out
 
 
-def mark_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, payload, digest, size, refers_to. The join on the digest is one that adaptive execution may split."""
+def revisit_marks(pages: DataFrame, least: int = 1000) -> DataFrame:
+    """(key, page_id, digest, refers_to) of the revisits. Payloads are not shuffled; the join is one that AQE may split."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("payload"), F.sha1(html).alias("digest"), F.octet_length(html).cast("bigint").alias("size"))
-    lead = rows.where(F.col("size") >= least).select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("lead_digest"), "lead")
-    return rows.join(lead, (F.col("digest") == F.col("lead_digest")) & (F.col("size") >= least), "left").select("page_id", "url", "payload", "digest", "size", F.when(~F.col("page_id").eqNullSafe(F.col("lead")), F.col("lead")).alias("refers_to"))
+    rows = pages.where(F.octet_length(html) >= least).select(F.col("page_id").cast("bigint").alias("page_id"), key_column(F.coalesce(F.col("url").cast("string"), F.lit(""))).alias("key"), F.sha1(html).alias("digest"))
+    lead = rows.groupBy("digest").agg(F.max("page_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("lead_digest"), "lead")
+    return rows.join(lead, F.col("digest") == F.col("lead_digest")).where("NOT (page_id <=> lead)").select("key", "page_id", "digest", F.col("lead").alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, out: str, least: int = 1000) -> DataFrame:
-    """Writes archives and indexes; their manifest (path, first_key, last_key, n_records) in order of keys."""
+    """Writes archives and indexes; their manifest (path, first_key, last_key, n_records) in order of keys.
+
+    Pages and the marks of revisits are range-partitioned together by key and id, each mark before its page: payloads
+    are shuffled once.
+    """
     spark = pages.sparkSession
     tune(spark)
-    rows = mark_revisits(pages, least).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([url_key(u).encode("utf-8", "surrogatepass") for u in b.column(1).to_pylist()], pa.binary())], [*b.schema.names, "key"])
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    whole = pages.select(key_column(url).alias("key"), F.col("page_id").cast("bigint").alias("page_id"), F.lit(1).alias("is_page"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("refers_to"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    marks = revisit_marks(pages, least).select("key", "page_id", F.lit(0).alias("is_page"), "digest", "refers_to", F.lit("").alias("url"), F.lit("").alias("payload"))
+    told = pa.schema([("path", pa.string()), ("first_key", pa.string()), ("last_key", pa.string()), ("n_records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, piece, body, lines, at = TaskContext.get().partitionId(), 0, [], [], 0
+        place, marked = None, {}
 
         def flush() -> pa.RecordBatch:
             path = f"{out}/part-{part:06d}-{piece:04d}.warc.gz"
             put(f"{path}.cdx", index_file(lines))
             put(path, b"".join(body))
-            return pa.RecordBatch.from_pydict({"path": [path], "first_key": [lines[0][0]], "last_key": [lines[-1][0]], "n_records": pa.array([len(lines)], pa.int64())})
+            return pa.RecordBatch.from_pydict({"path": [path], "first_key": [lines[0][0]], "last_key": [lines[-1][0]], "n_records": [len(lines)]}, schema=told)
 
         for b in batches:
-            for r in b.to_pylist():
-                raw = record(r["page_id"], r["url"], None if r["payload"] is None else r["payload"].encode(), r["digest"], r["size"], r["refers_to"])
+            for key, page_id, is_page, digest, refers_to, url, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, page_id) != place:
+                    place, marked = (key, page_id), {}
+                if not is_page:
+                    marked[digest] = refers_to
+                    continue
+                data = payload.encode()
+                digest = hashlib.sha1(data).hexdigest()
+                raw = record(page_id, url, data, digest, len(data), marked.get(digest))
                 c = zlib.compressobj(4, zlib.DEFLATED, 31)
                 member = c.compress(raw) + c.flush()
-                lines.append((r["key"].decode("utf-8", "surrogatepass"), at, len(member)))
+                lines.append((key, at, len(member)))
                 body.append(member)
                 at += len(member)
                 if at >= ARCHIVE_BYTES:
@@ -174,8 +193,8 @@ def write_warc(pages: DataFrame, out: str, least: int = 1000) -> DataFrame:
             yield flush()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.mapInArrow(keyed, "page_id bigint, url string, payload string, digest string, size bigint, refers_to bigint, key binary")
-    made = placed.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, "path string, first_key string, last_key string, n_records bigint")
+    by = [F.col("key"), F.col("page_id").asc_nulls_first()]
+    made = whole.unionAll(marks).repartitionByRange(n, *by).sortWithinPartitions(*by, "is_page").mapInArrow(run, "path string, first_key string, last_key string, n_records bigint")
     return spark.createDataFrame(sorted(made.collect(), key=lambda r: r.path), made.schema)  # one row an archive of 32 MB
 
 
