@@ -29,7 +29,7 @@ from .common import map_arrow, string_column
 
 #: Characters of a leaf of the text's tree; bytes of a leaf of a long match's tree.
 LEAF_CHARS, LEAF_BYTES = 4096, 48
-CACHE = 400_000
+CACHE = 300_000
 
 
 class Codec:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -77,6 +80,21 @@ def tune(spark: SparkSession) -> None:
             raise
 
 
+_trimmed = [0.0]
+
+
+def trim() -> None:
+    """Gives freed memory back, once a second: a Python worker lives on, and what its allocators hold back adds up."""
+    if time.monotonic() < _trimmed[0] + 1:
+        return
+    _trimmed[0] = time.monotonic()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One record batch in, one out; nothing is held between batches but what fn caches itself."""
     tune(df.sparkSession)
@@ -85,6 +103,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
         for b in batches:
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

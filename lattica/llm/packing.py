@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import string_column, tune
+from .common import string_column, trim, tune
 from .tokenize import encoder
 
 #: Documents in a random group, on average.
@@ -85,6 +85,7 @@ def document_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, w
                     y = x[a : a + capacity]
                     rows.append((i, a, len(y), zlib.crc32(y.tobytes()), len(x), *([y.tolist()] if with_ids else [])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+        trim()
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids array<int>" if with_ids else "")
     rows = df.select(df[id_col].cast("bigint").alias("doc_id"), string_column(df, text_col).alias("text"))

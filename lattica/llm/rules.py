@@ -53,6 +53,9 @@ def repeats(ids: np.ndarray, doc: np.ndarray, n_docs: int, window: int = WINDOW)
     return np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=n_docs)
 
 
+UPPER = bytes(range(65, 91))
+LETTERS = UPPER + bytes(range(97, 123))
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _SENTENCE = re.compile(rb"[.!?](?=[\s\"')]|$)")
 
 
@@ -74,10 +77,11 @@ def measure(raws: list[bytes]) -> dict[str, np.ndarray]:
         out["n_symbols"][i] = len(r.translate(None, drop))
         lines = [x for x in r.split(b"\n") if x.strip()]
         out["n_lines"][i], out["n_dup_lines"][i] = len(lines), len(lines) - len(set(lines))
-        text = r.decode("utf-8", "replace")
-        low = text.swapcase()
-        out["n_letters"][i] = sum(map(str.__ne__, text, low)) if len(low) == len(text) else sum(c != c.swapcase() for c in text)
-        out["n_upper"][i] = sum(map(str.isupper, text))
+        upper, letters = len(r) - len(r.translate(None, UPPER)), len(r) - len(r.translate(None, LETTERS))
+        if not r.isascii():
+            other = "".join(_FOREIGN.findall(r.decode("utf-8", "replace")))
+            upper, letters = upper + sum(map(str.isupper, other)), letters + sum(map(str.isalpha, other))
+        out["n_upper"][i], out["n_letters"][i] = upper, letters
         out["n_stops"][i] = len(_SENTENCE.findall(r))
     if len(ids):
         pair, count = np.unique((doc.astype("u8") << np.uint64(32)) | ids, return_counts=True)

@@ -21,7 +21,7 @@ than any other. An empty table gives an empty result. Other columns can be carri
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get, put, shared_dir, string_column, tune
+from .common import get, put, shared_dir, string_column, trim, tune
 
 SPAN, K = 50, 24
 WIDE = SPAN - K + 1
@@ -108,6 +108,17 @@ def collapse(content: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order[new], inverse
 
 
+def gathered(text: np.ndarray, start: np.ndarray, size: np.ndarray, at_once: int = 16384) -> np.ndarray:
+    """The strings of text from start on as rows, padded with 0 to whole words."""
+    out = np.zeros((len(start), -(-CONTENT // 8) * 8), "u1")
+    column = np.arange(out.shape[1])
+    for lo in range(0, len(start), at_once):
+        s = slice(lo, lo + at_once)
+        inside = column < size[s, None]
+        out[s][inside] = text[(start[s, None] + column)[inside]]
+    return out
+
+
 def rows_of(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Strings one after another as rows, padded with 0 to whole words."""
     out = np.zeros((len(size), -(-CONTENT // 8) * 8), "u1")
@@ -301,6 +312,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     held, size, piece = [], 0, piece + 1
         if any(b.num_rows for b in held):
             yield flush()
+        trim()
 
     key_schema = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
 
@@ -328,8 +340,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         start, windows, which = cut_runs(start, length)
         key, doc = key[which], doc[which]
         size = windows + SPAN - 1
-        place = start[:, None] + np.arange(-(-CONTENT // 8) * 8)
-        content = np.where(np.arange(place.shape[1]) < size[:, None], text[np.minimum(place, max(len(text) - 1, 0))] if len(text) else 0, 0).astype("u1")
+        content = gathered(text, start, size)
         first, same = collapse(content, size)
         low = np.full(len(first), LAST)
         np.minimum.at(low, same, ids[doc])
@@ -388,9 +399,17 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             made = made.append_column(f"c_{i}", table.column(f"c_{i}"))
         return made
 
+    def trimmed(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+        def run(t: pa.Table) -> pa.Table:
+            out = fn(t)
+            trim()
+            return out
+
+        return run
+
     told = rows.mapInArrow(shards, "shard bigint, bucket bigint, keys binary, several binary")
-    told = told.groupBy("bucket").applyInArrow(shared_keys, "shard bigint, bucket bigint, bits binary")
-    told = told.groupBy("shard").applyInArrow(candidate_runs, "shard bigint, bucket bigint, content binary, windows binary, docs binary, keys binary")
-    told = told.groupBy("bucket").applyInArrow(verdicts, "shard bigint, bucket bigint, bits binary")
+    told = told.groupBy("bucket").applyInArrow(trimmed(shared_keys), "shard bigint, bucket bigint, bits binary")
+    told = told.groupBy("shard").applyInArrow(trimmed(candidate_runs), "shard bigint, bucket bigint, content binary, windows binary, docs binary, keys binary")
+    told = told.groupBy("bucket").applyInArrow(trimmed(verdicts), "shard bigint, bucket bigint, bits binary")
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if with_text else "") + "".join(f", c_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    return told.groupBy("shard").applyInArrow(cut, schema)
+    return told.groupBy("shard").applyInArrow(trimmed(cut), schema)

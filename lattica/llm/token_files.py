@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, put, shared_dir, string_column, tune
+from .common import filesystem, put, shared_dir, string_column, trim, tune
 from .tokenize import encoder
 
 MAGIC, HEAD, BLOCK = b"LTKF", struct.Struct("<4sIIIQQ"), 4096
@@ -122,6 +122,7 @@ def write_token_files(df: DataFrame, tokenizer: str, vocabulary: int, end_id: in
                     names, valid, held, size, piece = [], [], [], 0, piece + 1
         if held:
             yield flush()
+        trim()
 
     rows = df.select(df[id_col].cast("bigint").alias("id"), string_column(df, text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

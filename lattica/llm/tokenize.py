@@ -11,7 +11,7 @@ import re
 import numpy as np
 
 #: Distinct matches kept between batches; beyond it the cache starts anew.
-CACHE = 700_000
+CACHE = 400_000
 #: The splitting pattern of byte-level BPE files of this family (fixed value) for texts of PLAIN characters alone, on which
 #: explicit ranges say what its letter and number classes mean. Other texts go to the library whole.
 LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏ"
