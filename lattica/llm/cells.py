@@ -9,19 +9,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
 
-def deal(rows: DataFrame, limit: int, salt: str) -> DataFrame:
-    """rows(t, key, ...) with lo, hi, own and grp: a row's block, the cell's two blocks, the group of cells to work on.
 
-    Large cells are joined by an equi-join, which adaptive execution may split where a cell is hot.
+#: Large cells are broadcast up to this many, some 400 kB; beyond it they are joined by a shuffle.
+BROADCAST_CELLS = 10_000
+
+
+def deal(rows: DataFrame, sizes: DataFrame, limit: int, salt: str) -> DataFrame:
+    """rows(t, key, ...) with lo, hi, own: the cell's two blocks and the row's own. sizes(t, key) has a row for each row.
+
+    Where there are large cells, their block numbers come by a broadcast of checked size or else by an equi-join that
+    adaptive execution may split where a cell is hot.
     """
-    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > limit).select(F.col("t").alias("lt"), F.col("key").alias("lkey"), F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("blocks"))
+    counted = sizes.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    large = staged(counted.select(F.col("t").alias("lt"), F.col("key").alias("lkey"), F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("blocks")))
+    n_large = large.count()
+    if not n_large:
+        return rows.withColumns({c: F.lit(0) for c in ("own", "lo", "hi")})
+    if n_large <= BROADCAST_CELLS:
+        large = F.broadcast(large)
     joined = rows.join(large, (F.col("t") == F.col("lt")) & (F.col("key") == F.col("lkey")), "left").drop("lt", "lkey")
-    blocks = F.coalesce("blocks", F.lit(1))
-    own = joined.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(salt), F.col("blocks").cast("bigint")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = own.withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    own = joined.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(salt), F.col("blocks").cast("bigint")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     return met.drop("other", "blocks")
 
 

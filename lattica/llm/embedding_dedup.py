@@ -24,11 +24,12 @@ from .cells import deal, grouped
 from .common import connected_components, local_components, map_arrow, staged
 
 BLOCK = 1024
+NUMBER = {"float": "<f4", "double": "<f8"}
 
 
 def plan(n: int, threshold: float, miss: float) -> tuple[int, int]:
     """(bits, tables) for n classes."""
-    bits = max(6, min(30, math.ceil(math.log2(max(n, 2) / 32))))
+    bits = max(6, min(30, math.ceil(math.log2(max(n, 2) / 256))))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log1p(-same))
 
@@ -39,22 +40,35 @@ def usable(column: F.Column) -> F.Column:
 
 
 def sign_keys(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """(cid, n, vec binary of doubles, keys array<int>)."""
+    """(cid, n, vec binary of the components as they come, keys binary of 4-byte ints)."""
+    kind = NUMBER[classes.schema["embedding"].dataType.elementType.simpleString()]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         keys, vecs = [], []
         for v in b.column(2).to_pylist():
-            x = np.array(v, "f8")
+            y = np.array(v, kind)
+            x = y.astype("f8")
             x /= np.abs(x).max()  # components may be too large or too small to square
             if len(x) not in planes:
                 planes[len(x)] = np.random.default_rng([seed, len(x)]).standard_normal((len(x), tables * bits))
             sign = (x @ planes[len(x)] > 0).reshape(tables, bits)
-            keys.append((sign @ (1 << np.arange(bits))).astype("i4"))
-            vecs.append(x.tobytes())
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vecs, pa.binary()), pa.array(keys, pa.list_(pa.int32()))], ["cid", "n", "vec", "keys"])
+            keys.append((sign @ (1 << np.arange(bits))).astype("<i4").tobytes())
+            vecs.append(y.tobytes())
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vecs, pa.binary()), pa.array(keys, pa.binary())], ["cid", "n", "vec", "keys"])
 
     planes: dict[int, np.ndarray] = {}
-    return map_arrow(classes.select("cid", "n", "embedding"), run, "cid bigint, n bigint, vec binary, keys array<int>")
+    return map_arrow(classes.select("cid", "n", "embedding"), run, "cid bigint, n bigint, vec binary, keys binary")
+
+
+def table_keys(keyed: DataFrame, tables: int, *columns: str) -> DataFrame:
+    """The given columns, t and key, a row for each table; a key is the 8 hex digits of its bytes, and the vector's length."""
+    digits = F.array(*(F.struct(F.lit(t).alias("t"), F.substring("keys", 4 * t + 1, 4).alias("k")) for t in range(tables)))
+    return keyed.select(*columns, F.length("vec").alias("size"), F.explode(digits).alias("c")).select(*columns, "c.t", F.xxhash64("c.k", "size").alias("key"))
+
+
+def vectors(raw: np.ndarray, kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype("f8")
+    return x / np.abs(x).max(1, keepdims=True)
 
 
 def cell_links(x: np.ndarray, y: np.ndarray, kx: np.ndarray, ky: np.ndarray, t: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,11 +84,9 @@ def cell_links(x: np.ndarray, y: np.ndarray, kx: np.ndarray, ky: np.ndarray, t:
     return i, j, first
 
 
-def class_links(keyed: DataFrame, n: int, tables: int, threshold: float) -> DataFrame:
+def class_links(keyed: DataFrame, n: int, tables: int, threshold: float, kind: str) -> DataFrame:
     """(cid, links, root): for linked classes, partners' rows counted in a group of cells, and a spanning star there."""
-    rows = keyed.select("cid", "n", "vec", "keys", F.posexplode("keys").alias("t", "key")).withColumn("key", F.xxhash64("key", F.length("vec")))
-    # the number of rows of a cell comes from ids and keys alone
-    dealt = grouped(deal(rows, BLOCK, "cid"), n * tables, 4000)
+    dealt = grouped(deal(table_keys(keyed, tables, "cid", "n", "vec", "keys"), table_keys(keyed, tables), BLOCK, "cid"), n * tables, 4000)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "key", "lo", "hi"], ignore_index=True)
@@ -82,7 +94,7 @@ def class_links(keyed: DataFrame, n: int, tables: int, threshold: float) -> Data
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
         ids, at = np.unique(pdf["cid"].to_numpy("i8"), return_inverse=True)
         links, a, b = np.zeros(len(ids), "i8"), [], []
-        keys, weight, ts = np.stack(pdf["keys"].to_numpy()), pdf["n"].to_numpy("i8"), pdf["t"].to_numpy()
+        keys, weight, ts = np.frombuffer(b"".join(pdf["keys"]), "<i4").reshape(len(pdf), -1), pdf["n"].to_numpy("i8"), pdf["t"].to_numpy()
         own, lo, hi, vec = (pdf[c].to_numpy() for c in ("own", "lo", "hi", "vec"))
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
             if e - s < 2:
@@ -93,8 +105,8 @@ def class_links(keyed: DataFrame, n: int, tables: int, threshold: float) -> Data
                 continue
             if len({len(vec[k]) for k in part}) > 1:  # a key of two lengths: they don't link
                 continue
-            x = np.frombuffer(b"".join(vec[p]), "f8").reshape(len(p), -1)
-            y = x if same else np.frombuffer(b"".join(vec[q]), "f8").reshape(len(q), -1)
+            x = vectors(vec[p], kind)
+            y = x if same else vectors(vec[q], kind)
             i, j, first = cell_links(x, y, keys[p], keys[q], int(ts[s]), threshold, same)
             np.add.at(links, at[p[i[first]]], weight[q[j[first]]])
             np.add.at(links, at[q[j[first]]], weight[p[i[first]]])
@@ -115,7 +127,7 @@ def embedding_components(df: DataFrame, threshold: float = 0.95, miss: float = 1
     n = classes.count()
     bits, tables = plan(n, threshold, miss)
     keyed = staged(sign_keys(classes, bits, tables, seed))
-    found = staged(class_links(keyed, n, tables, threshold))
+    found = staged(class_links(keyed, n, tables, threshold, NUMBER[df.schema[vec_col].dataType.elementType.simpleString()]))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     same_id = classes.join(classes.groupBy("low").agg(F.min("cid").alias("other"), F.count(F.lit(1)).alias("k")).where("k > 1"), "low").select(F.col("cid").alias("a"), F.col("other").alias("b"))
     reached = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionAll(same_id))

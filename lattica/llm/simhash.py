@@ -123,7 +123,7 @@ def fingerprint_links(classes: DataFrame, n: int, radius: int) -> DataFrame:
     """Edges (a, b) that connect the fingerprints classes(fp) within the radius: each shard's spanning stars."""
     masks = band_masks(n, radius)
     keyed = classes.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)))).alias("c")).select("fp", "c.t", "c.key")
-    dealt = grouped(deal(keyed, SHARD, "fp"), n * len(masks))
+    dealt = grouped(deal(keyed, keyed.select("t", "key"), SHARD, "fp"), n * len(masks))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf["fp"].to_numpy("i8").view("u8")
