@@ -34,7 +34,7 @@ from .common import get, put, shared_dir, string_column, trim, tune
 SPAN, K = 50, 24
 WIDE = SPAN - K + 1
 #: Bytes of text in a shard, and of text whose keys go to one bucket, about; windows in a run; bytes of runs in one merge.
-SHARD_BYTES, BUCKET_BYTES, RUN, SLICE = 4 << 20, 16 << 20, 32, 640 << 10
+SHARD_BYTES, BUCKET_BYTES, RUN, SLICE = 4 << 20, 6 << 20, 32, 640 << 10
 CONTENT = RUN + SPAN - 1
 LAST = np.iinfo("i8").max
 
@@ -276,6 +276,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(df[id_col].cast("bigint").alias("__id"), string_column(df, text_col).cast("binary").alias("__text"), *(df[c].alias(f"c_{i}") for i, c in enumerate(carry)))
     total = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     buckets = max(64, -(-total // BUCKET_BYTES))
+    # set by the text: the rows between the steps are small, and adaptive execution would join the tasks that expand them
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (3 * SHARD_BYTES)))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -408,8 +410,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return run
 
     told = rows.mapInArrow(shards, "shard bigint, bucket bigint, keys binary, several binary")
-    told = told.groupBy("bucket").applyInArrow(trimmed(shared_keys), "shard bigint, bucket bigint, bits binary")
-    told = told.groupBy("shard").applyInArrow(trimmed(candidate_runs), "shard bigint, bucket bigint, content binary, windows binary, docs binary, keys binary")
-    told = told.groupBy("bucket").applyInArrow(trimmed(verdicts), "shard bigint, bucket bigint, bits binary")
+    told = told.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(trimmed(shared_keys), "shard bigint, bucket bigint, bits binary")
+    told = told.repartition(tasks, "shard").groupBy("shard").applyInArrow(trimmed(candidate_runs), "shard bigint, bucket bigint, content binary, windows binary, docs binary, keys binary")
+    told = told.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(trimmed(verdicts), "shard bigint, bucket bigint, bits binary")
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if with_text else "") + "".join(f", c_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    return told.groupBy("shard").applyInArrow(trimmed(cut), schema)
+    return told.repartition(tasks, "shard").groupBy("shard").applyInArrow(trimmed(cut), schema)
