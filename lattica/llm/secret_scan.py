@@ -19,6 +19,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,16 +53,21 @@ class Layer:
 
     __slots__ = ("begin", "end", "text")
 
-    def __init__(self, text: str, begin: list[int] | None = None, end: list[int] | None = None):
+    def __init__(self, text: str, begin: array | None = None, end: array | None = None):
         self.text, self.begin, self.end = text, begin, end
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         return (start, end) if self.begin is None else (min(self.begin[start:end]), max(self.end[start:end]))
 
 
+def _whole(text: str, begin: int, end: int) -> Layer:
+    """A layer whose every character stands for one span."""
+    return Layer(text, array("q", [begin]) * len(text), array("q", [end]) * len(text))
+
+
 def _replaced(layer: Layer, pieces: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
     """pieces: (start, end, decoded, for each decoded character its span in the layer's text)."""
-    out, begin, end, at = [], [], [], 0
+    out, begin, end, at = [], array("q"), array("q"), 0
 
     def keep(a: int, b: int) -> None:
         out.append(layer.text[a:b])
@@ -153,9 +159,9 @@ def _from_base64(layer: Layer) -> list[Layer]:
         if (inner := unpack(raw)) is not None:
             x, y = layer.origin(m.start(), m.end())
             text = inner.decode("utf-8", "replace")
-            out.append(Layer(text, [x] * len(text), [y] * len(text)))
+            out.append(_whole(text, x, y))
         elif (text := _text_of(raw)) is not None:
-            begin, end, at = [], [], 0
+            begin, end, at = array("q"), array("q"), 0
             for c in text:
                 n = len(c.encode())
                 a, b = m.start() + at * 8 // 6, min(m.end(), m.start() + ((at + n) * 8 + 5) // 6)
@@ -177,7 +183,7 @@ def _from_packed(layer: Layer) -> Layer | None:
             if inner:
                 text = inner.decode("utf-8", "replace")
                 x, y = layer.origin(at, stop)
-                return Layer(text, [x] * len(text), [y] * len(text))
+                return _whole(text, x, y)
     return None
 
 
@@ -199,7 +205,7 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
     while work:
         layer = work.pop()
-        key = hashlib.sha256(repr((layer.begin and (layer.begin[0], layer.end[-1]))).encode() + layer.text.encode("utf-8", "surrogatepass")).digest()
+        key = hashlib.sha256(repr((layer.text and (layer.begin[0], layer.end[-1]))).encode() + layer.text.encode("utf-8", "surrogatepass")).digest()
         bare = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
         if key in seen or bare in seen:
             continue

@@ -2,9 +2,10 @@
 
 1. Texts are written as shards. A window of `SPAN` bytes is keyed by the least hash of its K-byte grams; consecutive windows
    of one key are a run. Keys of one shard, 6 bytes each, go to buckets; a key that only one document has can hold no
-   repeat. Answers go back as one bit a key.
+   repeat. Answers go back as two bits a key: whether it may, and whether it is hot.
 2. Runs of the remaining keys are collapsed by their bytes within a shard and go to the buckets of their keys: equal windows
-   have equal keys, so all that may repeat meets there.
+   have equal keys, so all that may repeat meets there. A hot key has too many different runs for one bucket; its windows
+   are runs of their own, keyed by all their bytes, which spreads them over all buckets.
 3. In a bucket the runs are dealt to small shards, each shard's rotations are sorted once, and from then on only its
    Burrows-Wheeler transform is used: the interleave of all shards is refined by stable counting passes, LF steps of 2 and then
    six times 8 bytes, until it is in order by 50 bytes. Boundaries that appear at a pass give the common prefix's depth; what
@@ -36,6 +37,8 @@ WIDE = SPAN - K + 1
 #: Bytes of text in a shard, and of text whose keys go to one bucket, about; windows in a run; bytes of runs in one merge.
 SHARD_BYTES, BUCKET_BYTES, RUN, SLICE = 4 << 20, 6 << 20, 32, 640 << 10
 CONTENT = RUN + SPAN - 1
+#: Different runs of one key, about, beyond which its windows go out one by one, by their own bytes.
+HOT_RUNS = 20_000
 LAST = np.iinfo("i8").max
 
 
@@ -84,12 +87,31 @@ def runs_of(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start[inside], length[inside], key[start[inside]], doc[inside]
 
 
-def cut_runs(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs in pieces of at most RUN windows: (start, windows, index of the run)."""
-    n = -(-length // RUN)
+def cut_runs(start: np.ndarray, length: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in pieces of at most so many windows: (start, windows, index of the run)."""
+    n = -(-length // most)
     which = np.repeat(np.arange(len(start)), n)
-    at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    return start[which] + at * RUN, np.minimum(length[which] - at * RUN, RUN), which
+    at = (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)) * most[which]
+    return start[which] + at, np.minimum(length[which] - at, most[which]), which
+
+
+def run_counts(text: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray, n_keys: int) -> np.ndarray:
+    """Logarithms (base 2, up) of how many runs each key has that differ in their first or last 8 bytes; 0 for one."""
+    if not len(start):
+        return np.zeros(n_keys, "u1")
+    words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    ends = (words[start] * np.uint64(0x9E3779B97F4A7C15)) ^ words[start + length + SPAN - 9]
+    pair = np.unique((at.astype("u8") << np.uint64(40)) | ((ends * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(24)))
+    return np.ceil(np.log2(np.maximum(np.bincount((pair >> np.uint64(40)).astype("i8"), minlength=n_keys), 1))).astype("u1")
+
+
+def content_keys(content: np.ndarray) -> np.ndarray:
+    """48-bit hashes of whole rows."""
+    words, h = content.view("<u8"), np.zeros(len(content), "u8")
+    for c in range(words.shape[1]):
+        h = (h ^ words[:, c]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+    return h >> np.uint64(16)
 
 
 def collapse(content: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,15 +312,15 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             shard = (part << 24) | piece
             put(f"{home}/shard-{shard}", _ipc(t))
             text, bounds, _ = _shard(t)
-            _, _, key, doc = runs_of(text, bounds)
+            start, length, key, doc = runs_of(text, bounds)
             keys, at = np.unique(key, return_inverse=True)
             low, high = np.full(len(keys), LAST), np.full(len(keys), -1)
             np.minimum.at(low, at, doc)
             np.maximum.at(high, at, doc)
             order, cut = _by_bucket(keys, buckets)
             six = keys[order].astype("<u8").view("u1").reshape(-1, 8)[:, :6]
-            several = (low < high)[order]
-            return pa.RecordBatch.from_pydict({"shard": [shard] * buckets, "bucket": list(range(buckets)), "keys": [six[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], "several": [np.packbits(several[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}, schema=key_schema)
+            told = ((run_counts(text, start, length, at, len(keys)) << 1) | (low < high))[order]
+            return pa.RecordBatch.from_pydict({"shard": [shard] * buckets, "bucket": list(range(buckets)), "keys": [six[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], "told": [told[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}, schema=key_schema)
 
         for b in batches:
             at = 0
@@ -316,17 +338,19 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield flush()
         trim()
 
-    key_schema = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
+    key_schema = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("told", pa.binary())])
 
     def shared_keys(t: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, "u1").reshape(-1, 6) for x in t.column("keys").to_pylist()]
         n = [len(x) for x in lists]
         wide = np.zeros((sum(n), 8), "u1")
         wide[:, :6] = np.concatenate(lists)
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, "u1"), count=k) for x, k in zip(t.column("several").to_pylist(), n, strict=True)])
+        told = np.frombuffer(b"".join(t.column("told").to_pylist()), "u1")
         _, at, count = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
-        shared = ((count > 1) | (np.bincount(at, several, len(count)) > 0))[at]
-        return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "bits": [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(n)[:-1])]})
+        shared = (count > 1) | (np.bincount(at, told & 1, len(count)) > 0)
+        hot = np.bincount(at, np.exp2(told >> 1), len(count)) > HOT_RUNS
+        split = lambda x: [np.packbits(y).tobytes() for y in np.split(x[at], np.cumsum(n)[:-1])]
+        return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "bits": split(shared), "hot": split(hot)})
 
     def candidate_runs(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
@@ -334,15 +358,17 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         start, length, key, doc = runs_of(text, bounds)
         keys, at = np.unique(key, return_inverse=True)
         order, cut = _by_bucket(keys, buckets)
-        shared = np.zeros(len(keys), bool)
-        for b, bits in zip(t.column("bucket").to_pylist(), t.column("bits").to_pylist(), strict=True):
-            shared[order[cut[b] : cut[b + 1]]] = np.unpackbits(np.frombuffer(bits, "u1"), count=int(cut[b + 1] - cut[b]))
+        shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        for b, *bits in zip(*(t.column(c).to_pylist() for c in ("bucket", "bits", "hot")), strict=True):
+            for x, y in zip((shared, hot), bits, strict=True):
+                x[order[cut[b] : cut[b + 1]]] = np.unpackbits(np.frombuffer(y, "u1"), count=int(cut[b + 1] - cut[b]))
         take = shared[at]
-        start, length, key, doc = start[take], length[take], key[take], doc[take]
-        start, windows, which = cut_runs(start, length)
-        key, doc = key[which], doc[which]
+        start, length, key, doc, single = start[take], length[take], key[take], doc[take], hot[at][take]
+        start, windows, which = cut_runs(start, length, np.where(single, 1, RUN))
+        key, doc, single = key[which], doc[which], single[which]
         size = windows + SPAN - 1
         content = gathered(text, start, size)
+        key = np.where(single, content_keys(content), key)
         first, same = collapse(content, size)
         low = np.full(len(first), LAST)
         np.minimum.at(low, same, ids[doc])
@@ -409,8 +435,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return run
 
-    told = rows.mapInArrow(shards, "shard bigint, bucket bigint, keys binary, several binary")
-    told = told.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(trimmed(shared_keys), "shard bigint, bucket bigint, bits binary")
+    told = rows.mapInArrow(shards, "shard bigint, bucket bigint, keys binary, told binary")
+    told = told.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(trimmed(shared_keys), "shard bigint, bucket bigint, bits binary, hot binary")
     told = told.repartition(tasks, "shard").groupBy("shard").applyInArrow(trimmed(candidate_runs), "shard bigint, bucket bigint, content binary, windows binary, docs binary, keys binary")
     told = told.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(trimmed(verdicts), "shard bigint, bucket bigint, bits binary")
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if with_text else "") + "".join(f", c_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))

@@ -4,7 +4,7 @@ File: header (magic, width, block size, numbers of ids and documents), the docum
 block offsets, then the blocks. A block holds block_size ids of `width` bits, least significant bit first, padded to whole
 bytes; the last may be shorter. Shards cover ascending ranges of doc_id; the manifest names each shard's first id.
 
-A null text is the empty text (its end id alone); null ids come first; rows of one id keep together, ordered by text; an
+A null text is the empty text (its end id alone); null ids come first; rows of one id keep together, ordered by a hash of the text; an
 empty table gives no shards; extra columns are ignored.
 """
 
@@ -126,7 +126,9 @@ def write_token_files(df: DataFrame, tokenizer: str, vocabulary: int, end_id: in
 
     rows = df.select(df[id_col].cast("bigint").alias("id"), string_column(df, text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text").mapInArrow(run, "part int, piece int, path string, n_docs bigint, n_ids bigint")
+    by = [F.col("id").asc_nulls_first(), F.col("h"), F.col("m")]
+    placed = rows.withColumn("h", F.xxhash64("text")).withColumn("m", F.monotonically_increasing_id())  # so that a repeated id can be split
+    shards = placed.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(run, "part int, piece int, path string, n_docs bigint, n_ids bigint")
     done = sorted(shards.collect(), key=lambda r: (r.part, r.piece))  # one row a shard of 4 M ids
     start, manifest = 0, []
     for r in done:
