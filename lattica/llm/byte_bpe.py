@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, string_column
+from .common import held, map_arrow, string_column
 
 #: Characters of a leaf of the text's tree; bytes of a leaf of a long match's tree.
 LEAF_CHARS, LEAF_BYTES = 4096, 48
@@ -170,6 +170,9 @@ def codec(path: str, pattern: str) -> Codec:
         return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
 
+held(codec.cache_clear)
+
+
 def bpe_round_trip(df: DataFrame, path: str, pattern: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]): one pass, no shuffle. path is a vocabulary on every machine."""
     id_type = df.schema[id_col].dataType.simpleString()

@@ -95,6 +95,20 @@ def trim() -> None:
         release(0)
 
 
+_held: list[Callable[[], None]] = []
+
+
+def held(clear: Callable[[], None]) -> None:
+    """Names what empties a cache that outlives tasks."""
+    _held.append(clear)
+
+
+def release() -> None:
+    """Empties the caches that other operators left in this worker; for stages that need its memory themselves."""
+    for clear in _held:
+        clear()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One record batch in, one out; nothing is held between batches but what fn caches itself."""
     tune(df.sparkSession)

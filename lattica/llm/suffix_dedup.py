@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get, put, shared_dir, string_column, trim, tune
+from .common import get, put, release, shared_dir, string_column, trim, tune
 
 SPAN, K = 50, 24
 WIDE = SPAN - K + 1
@@ -304,6 +304,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release()
         part, piece, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
@@ -429,6 +430,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def trimmed(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
         def run(t: pa.Table) -> pa.Table:
+            release()
             out = fn(t)
             trim()
             return out

@@ -10,6 +10,8 @@ import re
 
 import numpy as np
 
+from .common import held
+
 #: Distinct matches kept between batches; beyond it the cache starts anew.
 CACHE = 400_000
 #: The splitting pattern of byte-level BPE files of this family (fixed value) for texts of PLAIN characters alone, on which
@@ -102,3 +104,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One a process, so that tasks of a worker share what it has encoded."""
     return Encoder(path)
+
+
+held(encoder.cache_clear)
