@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass, fields
 
-COMMANDS = ("node2vec", "randomwalk", "embedding", "linkPredict", "partition")
+COMMANDS = ("walkEmbedding", "randomwalk", "embedding", "linkPredict", "partition")
 
 
 @dataclass
@@ -26,7 +26,7 @@ class Params:
     input: str | None = None
     output: str | None = None
     partitions: int = 10
-    cmd: str = "node2vec"
+    cmd: str = "walkEmbedding"
     partitioner: str = "lpt"
 
 
