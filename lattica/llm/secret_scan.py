@@ -33,6 +33,10 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: What compressed data starts with: gzip, bzip2, xz, zstandard, zlib.
+STARTS = ("\x1f\x8b", "BZh", "\xfd7zXZ\0", "\x28\xb5\x2f\xfd", "x\x01", "x^", "x\x9c", "x\xda")
+MAGIC = re.compile("|".join(map(re.escape, STARTS)))
+NARROW = re.compile(r"[\x00-\xff]+")
 MAX_UNPACKED = 64 << 20
 
 
@@ -49,25 +53,31 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and, for each character, the span of the original text it stands for (None: itself)."""
+    """A text and where it is from: for each character a span of the original text, one span for all, or (None) itself."""
 
-    __slots__ = ("begin", "end", "text")
+    __slots__ = ("begin", "end", "span", "text")
 
-    def __init__(self, text: str, begin: array | None = None, end: array | None = None):
-        self.text, self.begin, self.end = text, begin, end
+    def __init__(self, text: str, begin: array | None = None, end: array | None = None, span: tuple[int, int] | None = None):
+        self.text, self.begin, self.end, self.span = text, begin, end, span
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
+        if self.span:
+            return self.span
         return (start, end) if self.begin is None else (min(self.begin[start:end]), max(self.end[start:end]))
 
-
-def _whole(text: str, begin: int, end: int) -> Layer:
-    """A layer whose every character stands for one span."""
-    return Layer(text, array("q", [begin]) * len(text), array("q", [end]) * len(text))
+    def ends(self) -> tuple[int, int]:
+        """Where its first and last characters are from."""
+        return self.span or (self.begin[0], self.end[-1])
 
 
 def _replaced(layer: Layer, pieces: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
     """pieces: (start, end, decoded, for each decoded character its span in the layer's text)."""
     out, begin, end, at = [], array("q"), array("q"), 0
+    if layer.span:
+        for start, stop, decoded, _ in pieces:
+            out += [layer.text[at:start], decoded]
+            at = stop
+        return Layer("".join([*out, layer.text[at:]]), span=layer.span)
 
     def keep(a: int, b: int) -> None:
         out.append(layer.text[a:b])
@@ -118,27 +128,45 @@ def _from_escapes(layer: Layer) -> Layer | None:
     return _replaced(layer, pieces) if pieces else None
 
 
-def unpack(raw: bytes) -> bytes | None:
-    """What gzip, zlib, bzip2, xz or zstandard data holds, None for other data or data that is damaged from its start."""
+def _member(raw: memoryview, room: int) -> tuple[bytes, int] | None:
+    """(up to room bytes that the compressed data at the start of raw holds, bytes it takes there)."""
+    head = bytes(raw[:6])
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MAX_UNPACKED)
-        if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(raw, MAX_UNPACKED)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_UNPACKED)
-        if raw[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor(memlimit=4 * MAX_UNPACKED).decompress(raw, MAX_UNPACKED)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
+        if head[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            return zstandard.ZstdDecompressor(max_window_size=MAX_UNPACKED).decompressobj().decompress(raw)[:MAX_UNPACKED]
+            d, out, at = zstandard.ZstdDecompressor(max_window_size=MAX_UNPACKED).decompressobj(), bytearray(), 0
+            while at < len(raw) and not d.eof and len(out) < room:  # in small steps: a few bytes may hold megabytes
+                out += d.decompress(raw[at : at + 256])
+                at += 256
+            return bytes(out[:room]), min(at, len(raw)) - len(d.unused_data)
+        if head[:2] == b"\x1f\x8b":
+            d = zlib.decompressobj(31)
+        elif head[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+            d = zlib.decompressobj()
+        elif head[:3] == b"BZh":
+            d = bz2.BZ2Decompressor()
+        elif head == b"\xfd7zXZ\0":
+            d = lzma.LZMADecompressor(memlimit=4 * MAX_UNPACKED)
+        else:
+            return None
+        return d.decompress(raw, room), len(raw) - len(d.unused_data)
     except Exception as e:  # each of the libraries has errors of its own; bad data is no layer
         if isinstance(e, MemoryError):
             raise
     return None
 
 
+def unpack(raw: bytes | memoryview) -> tuple[bytes, int] | None:
+    """(what gzip, zlib, bzip2, xz or zstandard data holds, bytes it takes), member after member; None if there is none."""
+    raw, out, at, room = memoryview(raw), [], 0, MAX_UNPACKED
+    while room > 0 and at < len(raw) and (found := _member(raw[at:], room)):
+        out.append(found[0])
+        room -= len(found[0])
+        at += found[1]
+    return (b"".join(out), at) if at else None
+
+
 def _text_of(raw: bytes) -> str | None:
     try:
         text = raw.decode()
@@ -157,10 +185,11 @@ def _from_base64(layer: Layer) -> list[Layer]:
         except binascii.Error:
             continue
         if (inner := unpack(raw)) is not None:
-            x, y = layer.origin(m.start(), m.end())
-            text = inner.decode("utf-8", "replace")
-            out.append(_whole(text, x, y))
+            out.append(Layer(inner[0].decode("utf-8", "replace"), span=layer.origin(m.start(), m.end())))
         elif (text := _text_of(raw)) is not None:
+            if layer.span:
+                out.append(Layer(text, span=layer.span))
+                continue
             begin, end, at = array("q"), array("q"), 0
             for c in text:
                 n = len(c.encode())
@@ -173,18 +202,19 @@ def _from_base64(layer: Layer) -> list[Layer]:
     return out
 
 
-def _from_packed(layer: Layer) -> Layer | None:
-    """Compressed bytes that stand in the text as characters below 256."""
-    for magic in ("\x1f\x8b", "BZh", "\xfd7zXZ", "\x28\xb5\x2f\xfd", "\x78\x9c", "\x78\x01", "\x78\xda"):
-        at = layer.text.find(magic)
-        if at >= 0:
-            stop = next((i for i in range(at, len(layer.text)) if ord(layer.text[i]) > 255), len(layer.text))
-            inner = unpack(layer.text[at:stop].encode("latin-1"))
-            if inner:
-                text = inner.decode("utf-8", "replace")
-                x, y = layer.origin(at, stop)
-                return _whole(text, x, y)
-    return None
+def _from_packed(layer: Layer) -> list[Layer]:
+    """Every piece of compressed bytes that stands in the text as characters below 256."""
+    out = []
+    if not any(x in layer.text for x in STARTS):
+        return out
+    for run in NARROW.finditer(layer.text):
+        raw, at = memoryview(run[0].encode("latin-1")), 0
+        while m := MAGIC.search(run[0], at):
+            inner = unpack(raw[m.start() :])
+            at = m.start() + (inner[1] if inner else 1)
+            if inner and inner[0]:
+                out.append(Layer(inner[0].decode("utf-8", "replace"), span=layer.origin(run.start() + m.start(), run.start() + at)))
+    return out
 
 
 def unwrap(layer: Layer) -> list[Layer]:
@@ -194,7 +224,7 @@ def unwrap(layer: Layer) -> list[Layer]:
     if "\\" in text or "&#" in text or "%u" in text:
         out.append(_from_escapes(layer))
     out += _from_base64(layer)
-    out.append(_from_packed(layer))
+    out += _from_packed(layer)
     return [x for x in out if x is not None]
 
 
@@ -205,7 +235,7 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
     while work:
         layer = work.pop()
-        key = hashlib.sha256(repr((layer.text and (layer.begin[0], layer.end[-1]))).encode() + layer.text.encode("utf-8", "surrogatepass")).digest()
+        key = hashlib.sha256(repr(layer.text and layer.ends()).encode() + layer.text.encode("utf-8", "surrogatepass")).digest()
         bare = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
         if key in seen or bare in seen:
             continue

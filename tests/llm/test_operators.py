@@ -1,8 +1,10 @@
 """Operators against brute force, on odd rows: nulls, empty and long texts, ties, repeats, clashing columns, no rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import re
 import urllib.parse
@@ -12,6 +14,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from lattica.llm import byte_bpe, cells, embedding_dedup, packing, quality, rules, secret_scan, simhash, suffix_dedup, token_files, tokenize, warc
@@ -104,6 +107,29 @@ def test_secret_spans_are_exact_inside_escapes():
     assert (2 + 6, 1, 2 + 6 + 3 * len(KEY)) in secret_scan.find_secrets(text)[1]
 
 
+def test_secret_every_packed_piece_is_entered():
+    packed = [gzip.compress(f"one {KEY} here".encode()) + gzip.compress(b"and token=abcdefghijkl12"), zlib.compress(b"password: zyxwvutsrqponm"), zstandard.compress(f"{KEY}Z".encode())]
+    pieces = ["".join(f"%{b:02X}" for b in x) for x in packed]
+    text = "x^2 BZh " + " then ".join(pieces) + " end"
+    found = set(secret_scan.find_secrets(text)[1])
+    for piece, kinds in zip(pieces, ({0, 1}, {0}, {1}), strict=True):
+        at = text.index(piece)
+        assert {k for a, k, b in found if at <= a < b <= at + len(piece)} == kinds
+    assert secret_scan.redact(text).startswith("x^2 BZh [") and secret_scan.redact(text).endswith(" end")
+    joined = base64.b64encode(packed[0]).decode()
+    assert {k for _, k, _ in secret_scan.find_secrets(f"a {joined} b")[1]} == {0, 1}
+
+
+def test_secret_bombs_stay_small(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_UNPACKED", 8 << 20)
+    for pack in (gzip.compress, zstandard.compress, bz2.compress, lzma.compress):
+        out, taken = secret_scan.unpack(pack(b"a" * (64 << 20)))
+        assert len(out) <= 8 << 20 and taken
+    assert secret_scan.unpack(b"plain") is None and secret_scan.unpack(b"") is None
+    half = gzip.compress(f"token={'q7' * 10} ".encode() * 50)[:-6]
+    assert secret_scan.unpack(half)[0].startswith(b"token=q7")
+
+
 def test_secret_cycles_and_bombs_end():
     assert secret_scan.find_secrets("%25" * 50)[1] == []
     nested = "plain"
