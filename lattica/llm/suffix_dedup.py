@@ -279,11 +279,17 @@ def _shard(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[bounds[0] : bounds[-1]], bounds - bounds[0], ids
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of keys by bucket, then key, and each bucket's bounds in it."""
+def _by_bucket(keys: np.ndarray, buckets: int, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of keys by bucket, the buckets that have any, and their bounds in that order.
+
+    Only these send and get rows, so rows follow the text, not shards x buckets. A shard without keys has one empty bucket.
+    """
+    if not len(keys):
+        return np.zeros(0, "i8"), np.array([shard % 16777213 % buckets]), np.zeros(2, "i8")
     bucket = (keys % np.uint64(buckets)).astype("i8")
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    names, first = np.unique(bucket[order], return_index=True)
+    return order, names, np.append(first, len(keys))
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
@@ -318,10 +324,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             low, high = np.full(len(keys), LAST), np.full(len(keys), -1)
             np.minimum.at(low, at, doc)
             np.maximum.at(high, at, doc)
-            order, cut = _by_bucket(keys, buckets)
+            order, names, cut = _by_bucket(keys, buckets, shard)
             six = keys[order].astype("<u8").view("u1").reshape(-1, 8)[:, :6]
             told = ((run_counts(text, start, length, at, len(keys)) << 1) | (low < high))[order]
-            return pa.RecordBatch.from_pydict({"shard": [shard] * buckets, "bucket": list(range(buckets)), "keys": [six[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], "told": [told[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}, schema=key_schema)
+            return pa.RecordBatch.from_pydict({"shard": [shard] * len(names), "bucket": names, "keys": [six[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], "told": [told[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}, schema=key_schema)
 
         for b in batches:
             at = 0
@@ -358,11 +364,12 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         text, bounds, ids = _shard(_table(get(f"{home}/shard-{shard}")))
         start, length, key, doc = runs_of(text, bounds)
         keys, at = np.unique(key, return_inverse=True)
-        order, cut = _by_bucket(keys, buckets)
+        order, names, cut = _by_bucket(keys, buckets, shard)
         shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         for b, *bits in zip(*(t.column(c).to_pylist() for c in ("bucket", "bits", "hot")), strict=True):
+            k = int(np.searchsorted(names, b))
             for x, y in zip((shared, hot), bits, strict=True):
-                x[order[cut[b] : cut[b + 1]]] = np.unpackbits(np.frombuffer(y, "u1"), count=int(cut[b + 1] - cut[b]))
+                x[order[cut[k] : cut[k + 1]]] = np.unpackbits(np.frombuffer(y, "u1"), count=int(cut[k + 1] - cut[k]))
         take = shared[at]
         start, length, key, doc, single = start[take], length[take], key[take], doc[take], hot[at][take]
         start, windows, which = cut_runs(start, length, np.where(single, 1, RUN))
@@ -374,13 +381,13 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         low = np.full(len(first), LAST)
         np.minimum.at(low, same, ids[doc])
         put(f"{home}/runs-{shard}", _ipc(pa.table({"start": start, "windows": windows.astype("u1"), "doc": doc, "same": same, "low": low[same]})))
-        order, cut = _by_bucket(key[first], buckets)
+        order, names, cut = _by_bucket(key[first], buckets, shard)
         put(f"{home}/order-{shard}", _ipc(pa.table({"order": order})))
         first, low = first[order], low[order]
         parts = [(first[a:b], low[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         inside = np.arange(content.shape[1])
         return pa.table({
-            "shard": pa.array([shard] * buckets, pa.int64()), "bucket": pa.array(range(buckets), pa.int64()),
+            "shard": pa.array([shard] * len(names), pa.int64()), "bucket": pa.array(names, pa.int64()),
             "content": [content[f][inside < size[f][:, None]].tobytes() for f, _ in parts], "windows": [windows[f].astype("u1").tobytes() for f, _ in parts],
             "docs": [x.astype("<i8").tobytes() for _, x in parts], "keys": [key[f].astype("<u8").tobytes() for f, _ in parts],
         })
