@@ -58,14 +58,17 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     return h >> np.uint64(16)
 
 
-def window_keys(text: np.ndarray) -> np.ndarray:
-    """The least hash of the grams of each window of SPAN bytes."""
-    h, width = gram_hashes(text), 1
-    while width < WIDE:
-        step = min(width, WIDE - width)
-        h = np.minimum(h[:-step], h[step:]) if len(h) > step else h[:0]
-        width += step
-    return h
+def window_keys(text: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+    """The least hash of the grams of each window of SPAN bytes; windows in blocks, so that only the result is as long as the text."""
+    out = np.empty(max(len(text) - SPAN + 1, 0), "u8")
+    for lo in range(0, len(out), at_once):
+        h, width = gram_hashes(text[lo : lo + at_once + SPAN - 1]), 1
+        while width < WIDE:
+            step = min(width, WIDE - width)
+            h = np.minimum(h[:-step], h[step:])
+            width += step
+        out[lo : lo + at_once] = h
+    return out
 
 
 def runs_of(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
