@@ -1,7 +1,7 @@
 """Packs documents into sequences: first-fit decreasing over a tournament tree of bin capacities, in random groups.
 
-A document is cut into full sequences and one remainder; the pieces of a random group of documents are packed
-independently, so no task holds more than a group. Sequences are padded to the full length, except those that end at a
+A document is cut into full sequences and one remainder. Pieces go to random groups, each the size of some 4096 documents'
+pieces and packed independently: one document's pieces too are spread, so that a huge one makes no group large. Sequences are padded to the full length, except those that end at a
 power of two.
 
 A null text is the empty text; it is one piece with the end id alone. Ties of length keep the order (length, doc_id, start).
