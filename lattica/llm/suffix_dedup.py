@@ -35,7 +35,7 @@ from .common import get, put, release, shared_dir, string_column, trim, tune
 SPAN, K = 50, 24
 WIDE = SPAN - K + 1
 #: Bytes of text in a shard, and of text whose keys go to one bucket, about; windows in a run; bytes of runs in one merge.
-SHARD_BYTES, BUCKET_BYTES, RUN, SLICE = 4 << 20, 6 << 20, 32, 640 << 10
+SHARD_BYTES, BUCKET_BYTES, RUN, SLICE = 4 << 20, 6 << 20, 32, 320 << 10
 CONTENT = RUN + SPAN - 1
 #: Different runs of one key, about, beyond which its windows go out one by one, by their own bytes.
 HOT_RUNS = 20_000
@@ -154,49 +154,63 @@ def rows_of(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
 # merging
 
 
-def stable_order(symbol: np.ndarray) -> np.ndarray:
-    """Order by symbols below 2**32, ties as they come: one sort of whole words."""
-    x = (symbol.astype("u8") << np.uint64(32)) | np.arange(len(symbol), dtype="u8")
+def sorted_keys(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, their stable order), for keys below 2**bits: where place and key fit into one word, a sort of words."""
+    low = max(len(key) - 1, 1).bit_length()
+    if bits + low > 64:
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    x = (key.astype("u8", copy=False) << np.uint64(low)) | np.arange(len(key), dtype="u8")
     x.sort()
-    return (x & np.uint64(0xFFFFFFFF)).astype("i8")
+    return x >> np.uint64(low), (x & np.uint64((1 << low) - 1)).astype("i4" if low < 32 else "i8")
 
 
-def ranks(x: np.ndarray) -> np.ndarray:
-    order = np.argsort(x)
-    y = x[order]
-    new = np.ones(len(x), bool)
-    new[1:] = y[1:] != y[:-1]
-    out = np.empty(len(x), "u8")
-    out[order] = np.cumsum(new) - 1
+def ranks(key: np.ndarray, bits: int) -> np.ndarray:
+    """Dense ranks, equal for equal keys."""
+    y, order = sorted_keys(key, bits)
+    new = np.zeros(len(y), bool)
+    np.not_equal(y[1:], y[:-1], out=new[1:])
+    out = np.empty(len(y), "u4")
+    out[order] = np.cumsum(new, dtype="u4")
     return out
 
 
+def pairs(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    return (high.astype("u8") << np.uint64(bits)) | low
+
+
 class Rotations:
     """All rotations of some strings, laid end to end; symbols are 8 bytes wide, as ranks among all shards."""
 
     def __init__(self, flat: np.ndarray, size: np.ndarray):
+        whole = "i4" if len(flat) < 1 << 31 else "i8"
         self.begin = np.cumsum(size) - size
-        self.base, self.size = np.repeat(self.begin, size), np.repeat(size, size)
-        self.at = np.arange(len(flat)) - self.base
-        b = flat.astype("u8")
-        self.two = (b << np.uint64(8)) | b[self.after(1)]
-        four = (self.two << np.uint64(16)) | self.two[self.after(2)]
-        self.eight = ranks((four << np.uint64(32)) | four[self.after(4)])
-
-    def after(self, n: int) -> np.ndarray:
-        return self.base + (self.at + n) % self.size
+        self.base, self.size = np.repeat(self.begin.astype(whole), size), np.repeat(size.astype(whole), size)
+        self.at = np.arange(len(flat), dtype=whole) - self.base
+        self.bits = max(len(flat), 1).bit_length()
+        b = flat.astype("u4")
+        self.two = (b << np.uint32(8)) | b[self.after(1)]
+        four = ranks(pairs(self.two, self.two[self.after(2)], 16), 32)
+        self.eight = ranks(pairs(four, four[self.after(4)], self.bits), 2 * self.bits)
+
+    def after(self, n: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """The place n bytes on, in the rotation of each place from lo to hi; n is less than a string is long."""
+        at, size = self.at[lo:hi] + n, self.size[lo:hi]
+        at += size * (at < 0) - size * (at >= size)
+        at += self.base[lo:hi]
+        return at
 
     def transform(self, lo: int, hi: int) -> np.ndarray:
         """The order of the rotations from lo to hi, a shard's whole strings, by 64 bytes: its suffix array."""
-        local = self.base[lo:hi] - lo
         r, width = self.eight[lo:hi], 8
-        while width < 32:
-            r = ranks((r << np.uint64(32)) | r[local + (self.at[lo:hi] + width) % self.size[lo:hi]])
-            width *= 2
-        return lo + np.argsort((r << np.uint64(32)) | r[local + (self.at[lo:hi] + width) % self.size[lo:hi]])
+        while True:
+            key = pairs(r, r[self.after(width, lo, hi) - lo], self.bits)
+            if width == 32:
+                return lo + sorted_keys(key, 2 * self.bits)[1]
+            r, width = ranks(key, 2 * self.bits), 2 * width
 
 
-def refine(z: np.ndarray, block: np.ndarray, bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def refine(z: np.ndarray, block: np.ndarray, bwt: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """One pass: z names each place's shard, block its interval so far; bwt has the shards' transforms one after another.
 
     The k-th place of a shard reads the k-th symbol of its transform; places go, stably, to the order of their symbols. A
@@ -204,11 +218,13 @@ def refine(z: np.ndarray, block: np.ndarray, bwt: np.ndarray) -> tuple[np.ndarra
     """
     symbol = np.empty(len(bwt), "u8")
     symbol[np.argsort(z, kind="stable")] = bwt
-    order = stable_order(symbol)
-    s, b = symbol[order], block[order]
-    new = np.zeros(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-    return z[order], np.cumsum(new)
+    s, order = sorted_keys(symbol, bits)
+    b = block[order]
+    new = s[1:] != s[:-1]
+    new |= b[1:] != b[:-1]
+    out = np.zeros(len(s), block.dtype)
+    np.cumsum(new, out=out[1:])
+    return z[order], out
 
 
 def merged_intervals(flat: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
@@ -217,12 +233,12 @@ def merged_intervals(flat: np.ndarray, size: np.ndarray, shards: int) -> np.ndar
     cuts = np.append(rot.begin, len(flat))[np.linspace(0, len(size), shards + 1).astype(int)]
     order = np.concatenate([rot.transform(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     z = np.repeat(np.arange(shards, dtype="u1"), np.diff(cuts))
-    block = np.zeros(len(flat), "i8")
-    z, block = refine(z, block, rot.two[rot.after(-2)[order]])
+    block = np.zeros(len(flat), rot.at.dtype)
+    z, block = refine(z, block, rot.two[rot.after(-2)[order]], 16)
     bwt = rot.eight[rot.after(-8)[order]]
     for _ in range((SPAN - 2) // 8):
-        z, block = refine(z, block, bwt)
-    out = np.empty(len(flat), "i8")
+        z, block = refine(z, block, bwt, rot.bits)
+    out = np.empty(len(flat), block.dtype)
     out[order] = block[np.argsort(z, kind="stable")]
     return out
 
