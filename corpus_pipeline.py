@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import map_arrow, shared_dir, string_column, table, texts, tune
+from lattica.llm.near_copies import near_copy_components
 from lattica.llm.packing import pack_documents
 from lattica.llm.quality import document_statistics, learn, statistics
 from lattica.llm.secret_scan import redact
-from lattica.llm.simhash import simhash_components
 from lattica.llm.suffix_dedup import suffix_dedup
 
 CUT = 0.3
@@ -35,8 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each component."""
-    first = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Keeps the document of smallest id of each component of texts whose sets of five-word shingles are 0.8 alike."""
+    first = near_copy_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
 

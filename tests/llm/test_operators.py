@@ -17,7 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from lattica.llm import byte_bpe, cells, embedding_dedup, packing, quality, rules, secret_scan, simhash, suffix_dedup, token_files, tokenize, warc
+from lattica.llm import byte_bpe, cells, embedding_dedup, near_copies, packing, quality, rules, secret_scan, simhash, suffix_dedup, token_files, tokenize, warc
 from lattica.llm import common
 
 P = pytest.importorskip("public_tokenizers")
@@ -509,6 +509,54 @@ def test_large_cells_keep_every_pair(spark, monkeypatch):
         assert set(pairs.values()) == {1} and len(pairs) == 50 * 49 // 2 + 1
 
 
+def brute_shingles(t, size=5):
+    w = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))}
+
+
+def test_near_copies(odd, empty, spark, monkeypatch):
+    """Chains of copies about the threshold, against all pairs; then in blocks of few classes."""
+    rows, df = odd
+    g = np.random.default_rng(13)
+    extra = []
+    for k in range(60):
+        words = [f"w{x}" for x in g.integers(0, 5000, g.integers(30, 300))]
+        for _ in range(3):
+            extra.append((len(extra) + 1000, " ".join(words)))
+            for at in g.integers(0, len(words), max(1, len(words) * int(g.integers(1, 5)) // 100)):
+                words[at] = f"v{g.integers(0, 5000)}"
+    both = rows + extra
+    sets = [brute_shingles(x) for _, x in both]
+    root = list(range(len(both)))
+    find = lambda k: k if root[k] == k else find(root[k])
+    links = 0
+    for a in range(len(both)):
+        for b in range(a):
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                root[find(a)], links = find(b), links + (both[a][1] != both[b][1])
+    low: dict = {}
+    for k, (d, _) in enumerate(both):
+        if d is not None:
+            low[find(k)] = min(low.get(find(k), math.inf), d)
+    want = sorted(((d, low.get(find(k))) for k, (d, _) in enumerate(both)), key=repr)
+    docs = df.select("doc_id", "text").unionAll(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    assert links > 50
+    for shard in (near_copies.SHARD, 2):
+        monkeypatch.setattr(near_copies, "SHARD", shard)
+        assert sorted_rows(near_copies.near_copy_components(docs), "doc_id", "component_id") == want
+    assert near_copies.near_copy_components(empty).count() == 0
+
+
+def test_near_copy_keys_meet_as_often_as_they_should():
+    g = np.random.default_rng(14)
+    hit = []
+    for _ in range(300):
+        x = g.integers(0, 1 << 64, 500, "u8")
+        a, b = near_copies.band_keys([x[:450], x[50:]])  # Jaccard 400 / 500
+        hit.append((a == b).sum())
+    assert min(hit) > 0 and abs(np.mean(hit) / near_copies.BANDS - 0.8**near_copies.ROWS) < 0.02
+
+
 def test_components(spark):
     g = np.random.default_rng(12)
     pairs = [(int(a), int(b)) for a, b in g.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, k) for k in range(5001, 5300)]

@@ -47,6 +47,15 @@ def test_stages_on_odd_rows(spark):
     assert pipeline.quality(spark, docs, DATA).count() <= len(rows)
 
 
+def test_near_copies_by_content(spark):
+    """Copies with some words in a hundred changed go; a text that shares less stays."""
+    words = [f"word{k * k % 997}" for k in range(240)]
+    changed = lambda step: " ".join("other" if k % step == 7 else w for k, w in enumerate(words))
+    rows = [(1, " ".join(words), "en", "s", 0), (2, changed(50), "en", "s", 0), (3, changed(12), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in pipeline.near_copies(spark, docs, DATA).collect()) == [1, 3]
+
+
 def test_run(spark):
     got = pipeline.run(spark, DATA)
     assert got.count() > 0 and got.selectExpr("max(offset + length)").head()[0] <= 2048
