@@ -13,9 +13,9 @@ unpack to in memory (a decompression bomb); the layer itself is then still scann
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -33,6 +33,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\t ]*+[A-Za-z0-9+/_-]++)++={0,2}")
+STANDARD = str.maketrans("-_", "+/")
 #: What compressed data starts with: gzip, bzip2, xz, zstandard, zlib.
 STARTS = ("\x1f\x8b", "BZh", "\xfd7zXZ\0", "\x28\xb5\x2f\xfd", "x\x01", "x^", "x\x9c", "x\xda")
 MAGIC = re.compile("|".join(map(re.escape, STARTS)))
@@ -167,38 +169,45 @@ def unpack(raw: bytes | memoryview) -> tuple[bytes, int] | None:
     return (b"".join(out), at) if at else None
 
 
-def _text_of(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
 def _from_base64(layer: Layer) -> list[Layer]:
+    """Every run, and runs joined over line breaks, at the four alignments: wherever in a run its base64 starts, one of them has it.
+
+    All decoded bytes stay, as characters below 256, and as UTF-8 too where they are; so text beside other bytes is found.
+    """
     out = []
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
+    for m in itertools.chain(BASE64.finditer(layer.text), WRAPPED.finditer(layer.text)):
+        run = m[0].rstrip("=")
+        places = [m.start() + k for k, c in enumerate(run) if c not in "\r\n\t "] if "\n" in run else range(m.start(), m.start() + len(run))
+        if len(places) < 16:
             continue
-        if (inner := unpack(raw)) is not None:
-            out.append(Layer(inner[0].decode("utf-8", "replace"), span=layer.origin(m.start(), m.end())))
-        elif (text := _text_of(raw)) is not None:
-            if layer.span:
-                out.append(Layer(text, span=layer.span))
-                continue
-            begin, end, at = array("q"), array("q"), 0
-            for c in text:
-                n = len(c.encode())
-                a, b = m.start() + at * 8 // 6, min(m.end(), m.start() + ((at + n) * 8 + 5) // 6)
-                x, y = layer.origin(a, b)
-                begin.append(x)
-                end.append(y)
-                at += n
-            out.append(Layer(text, begin, end))
+        body = "".join(run.split()).translate(STANDARD)
+        for shift in range(4):
+            part = body[shift : len(body) - ((len(body) - shift) % 4 == 1)]
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            if not shift and (inner := unpack(raw)) is not None:
+                out.append(Layer(inner[0].decode("utf-8", "replace"), span=layer.origin(m.start(), m.end())))
+                if inner[1] == len(raw):
+                    continue
+            readings = [(raw.decode("latin-1"), None)]
+            if not raw.isascii():
+                try:
+                    wide = raw.decode()
+                    readings.append((wide, [len(c.encode()) for c in wide]))
+                except UnicodeDecodeError:
+                    pass
+            for text, widths in readings:
+                if layer.span:
+                    out.append(Layer(text, span=layer.span))
+                    continue
+                begin, end, at = array("q"), array("q"), 0
+                for n in widths or itertools.repeat(1, len(text)):
+                    a = places[shift + at * 8 // 6]
+                    b = places[min(len(places), shift + ((at + n) * 8 + 5) // 6) - 1] + 1
+                    x, y = layer.origin(a, b)
+                    begin.append(x)
+                    end.append(y)
+                    at += n
+                out.append(Layer(text, begin, end))
     return out
 
 

@@ -102,6 +102,35 @@ def test_secret_layers_map_back(wrap):
     assert not [s for s in secret_scan.find_secrets("".join(secret_scan.redact(text)))[1] if s[1] == 1]
 
 
+def test_secret_base64_at_any_place_in_a_run():
+    plain = base64.b64encode(f"use {KEY} here".encode()).decode()
+    for before in ("/x/", "key_", "id-", "a", "ab", "abc/", "_"):
+        assert kinds_of(f"see {before}{plain} end") == {1}
+    packed = base64.b64encode(gzip.compress(f"use {KEY} here".encode())).decode()
+    assert kinds_of(f"see /x/{packed} end") == {1}
+    exact = base64.b64encode(f"{KEY} ".encode()).decode()
+    assert (6, 1, 6 + 27) in secret_scan.find_secrets(f"a key_{exact}")[1]
+
+
+@pytest.mark.parametrize("beside", ["\xa0", "\u3000", "\0", "\x1b", "é"])
+def test_secret_base64_beside_other_bytes(beside):
+    assert kinds_of(f"a {base64.b64encode(f'{beside}{KEY}{beside}'.encode()).decode()} b") == {1}
+    assert kinds_of(f"a {base64.b64encode(bytes([0xFF, 0xFE]) + KEY.encode() + bytes([0x80])).decode()} b") == {1}
+
+
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\n    "])
+def test_secret_wrapped_base64(line):
+    note = "".join(f"line {k} of a longer note, " for k in range(9))
+    for raw in (f"{note[:50]}{KEY} {note}".encode(), gzip.compress(f"{note}{KEY} {hashlib.sha256(note.encode()).hexdigest()}".encode())):
+        whole = base64.b64encode(raw).decode()
+        text = "head:\n" + line.join(whole[k : k + 76] for k in range(0, len(whole), 76)) + "\n\nend"
+        assert 1 in kinds_of(text) and KEY not in secret_scan.redact(text)
+
+
+def kinds_of(text):
+    return {k for _, k, _ in secret_scan.find_secrets(text)[1]}
+
+
 def test_secret_spans_are_exact_inside_escapes():
     text = "x " + "".join(f"%{b:02X}" for b in f"a {KEY} b".encode())
     assert (2 + 6, 1, 2 + 6 + 3 * len(KEY)) in secret_scan.find_secrets(text)[1]
