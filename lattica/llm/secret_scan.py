@@ -98,22 +98,25 @@ def _replaced(layer: Layer, pieces: list[tuple[int, int, str, list[tuple[int, in
     return Layer("".join(out), begin, end)
 
 
-def _from_url(layer: Layer) -> Layer | None:
-    pieces = []
+def _from_url(layer: Layer) -> list[Layer]:
+    """With each run of escapes as UTF-8 where it is valid; and, if that joins bytes, with each byte as a character of its own."""
+    pieces, narrow, joined = [], [], False
     for m in URL.finditer(layer.text):
         raw, at, spans = bytes.fromhex(m[0].replace("%", "")), m.start(), []
+        single = (m.start(), m.end(), raw.decode("latin-1"), [(at + 3 * i, at + 3 * i + 3) for i in range(len(raw))])
+        narrow.append(single)
         try:
             decoded = raw.decode()
         except UnicodeDecodeError:
-            decoded = raw.decode("latin-1")
-            spans = [(at + 3 * i, at + 3 * i + 3) for i in range(len(raw))]
-        if not spans:
-            for c in decoded:
-                n = 3 * len(c.encode())
-                spans.append((at, at + n))
-                at += n
+            pieces.append(single)
+            continue
+        joined |= len(decoded) < len(raw)
+        for c in decoded:
+            n = 3 * len(c.encode())
+            spans.append((at, at + n))
+            at += n
         pieces.append((m.start(), m.end(), decoded, spans))
-    return _replaced(layer, pieces) if pieces else None
+    return [_replaced(layer, p) for p in ([pieces, narrow] if joined else [pieces] if pieces else [])]
 
 
 def _from_escapes(layer: Layer) -> Layer | None:
@@ -229,7 +232,7 @@ def _from_packed(layer: Layer) -> list[Layer]:
 def unwrap(layer: Layer) -> list[Layer]:
     text, out = layer.text, []
     if "%" in text:
-        out.append(_from_url(layer))
+        out += _from_url(layer)
     if "\\" in text or "&#" in text or "%u" in text:
         out.append(_from_escapes(layer))
     out += _from_base64(layer)

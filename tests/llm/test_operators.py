@@ -149,6 +149,20 @@ def test_secret_every_packed_piece_is_entered():
     assert {k for _, k, _ in secret_scan.find_secrets(f"a {joined} b")[1]} == {0, 1}
 
 
+def test_secret_quoted_packed_bytes():
+    """quote() leaves letters as they are, so runs of escapes are short and some happen to be UTF-8."""
+    g, joined = np.random.default_rng(15), 0
+    for _ in range(300):
+        note = "".join(g.choice(list("abcdefghij klmnop"), 60))
+        inner = urllib.parse.quote(gzip.compress(f"{note} {KEY} {note[:20]}".encode(), mtime=0))
+        joined += any(len(x) < len(x.encode()) for x in urllib.parse.unquote(inner, errors="ignore"))
+        text = f"é before {inner} after"
+        assert 1 in kinds_of(text)
+        assert secret_scan.redact(text).endswith(" after")
+    assert joined
+    assert secret_scan.find_secrets(f"%C3%A9 {KEY}")[1] == [(7, 1, 7 + len(KEY))]
+
+
 def test_secret_bombs_stay_small(monkeypatch):
     monkeypatch.setattr(secret_scan, "MAX_UNPACKED", 8 << 20)
     for pack in (gzip.compress, zstandard.compress, bz2.compress, lzma.compress):
