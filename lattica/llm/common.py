@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
+import math
 import os
 import tempfile
 import time
@@ -21,18 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder, as a URI, in the shared folder that the cluster names in spark.checkpoint.dir.
+    """A new folder, as a URI, in the shared folder that the cluster names in spark.checkpoint.dir; discard() empties it.
 
-    Only where that setting is absent (local tests) a local temporary folder stands in.
+    Where that setting is absent a temporary folder stands in on a local master (tests); a cluster without it is an error, since
+    its nodes would each write to a folder of their own.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lattica-shared")
         spark.sparkContext.setCheckpointDir(base)
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + base
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.add(made := f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return made
+
+
+def discard(*uris: str) -> None:
+    """Deletes what shared_dir() has handed out, or only the given ones of it. Frames that read them are lost; the driver's exit does it."""
+    for uri in uris or tuple(_made):
+        _made.discard(uri)
+        with contextlib.suppress(OSError):
+            remove(uri)
+
+
+atexit.register(discard)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -57,21 +78,27 @@ def get(uri: str) -> bytes:
 
 def remove(uri: str) -> None:
     fs, path = filesystem(uri)
-    try:
+    with contextlib.suppress(FileNotFoundError):
         fs.delete_dir(path)
-    except FileNotFoundError:
-        pass
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the shared folder, so that a lost executor costs no upstream work."""
+def staged_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """staged(), and the folder, for discard() once nothing reads it any more."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a table in the shared folder, so that a lost executor costs no upstream work."""
+    return staged_at(df)[0]
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds, by rows and by bytes, so that long texts don't pile up in a worker."""
+    """Bounds what one Arrow batch holds, by rows and by bytes, so that long texts don't pile up in a worker.
+
+    The settings are the session's, and stay: plans are lazy, so there is no later point at which to take them back.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
@@ -154,14 +181,14 @@ def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds; each is a partial aggregate and an equi-join that adaptive execution
-    may split, so a hub's edges never meet in one task. Every round is written to the shared folder.
+    may split, so a hub's edges never meet in one task. Every round is written to the shared folder, and the one before deleted.
+    The rounds needed grow at most with the square of the logarithm of the edges; beyond that something is wrong.
     """
-    spark = edges.sparkSession
-    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e, path = staged_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         near = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
@@ -176,10 +203,12 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
 
     before = mark(e)
-    for _ in range(limit):
+    for _ in range(10 + math.ceil(math.log2(before[0] + 1)) ** 2):
         if not before[0]:
             break
-        e = staged(star(star(e, True), False))
+        e, done = staged_at(star(star(e, True), False))
+        discard(path)
+        path = done
         after = mark(e)
         if after == before:
             break
