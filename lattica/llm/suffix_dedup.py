@@ -5,23 +5,29 @@
    repeat. Answers go back as two bits a key: whether it may, and whether it is hot.
 2. Runs of the remaining keys are collapsed by their bytes within a shard and go to the buckets of their keys: equal windows
    have equal keys, so all that may repeat meets there. A hot key has too many different runs for one bucket; its windows
-   are runs of their own, keyed by all their bytes, which spreads them over all buckets.
-3. In a bucket the runs are dealt to small shards, each shard's rotations are sorted once, and from then on only its
-   Burrows-Wheeler transform is used: the interleave of all shards is refined by stable counting passes, LF steps of 2 and then
-   six times 8 bytes, until it is in order by 50 bytes. Boundaries that appear at a pass give the common prefix's depth; what
-   has no boundary at depth 50 is a repeated interval. Each interval's smallest document is taken, and the windows whose
-   own document is larger are sent back to their shard, as bits.
+   are runs of their own, keyed by all their bytes, which spreads them over all buckets. A wide key stands in so many shards that
+   even its equal runs would fill a bucket: they first meet in groups of shards, about the square root of all each, where equal
+   ones are collapsed to the smallest document, and only then in the bucket; the answer goes back the same way.
+3. In a bucket the runs are cut into slices, each slice's runs are dealt to at most four strings of a collection, the rotations of each
+   are sorted once by prefix doubling, and from then on only its Burrows-Wheeler transform is used: the interleave of all four is
+   refined by stable sorts of the transform's symbols, LF steps of 2 and then six times 8 bytes, until it is in order by 50 bytes.
+   Boundaries that appear at a pass give the common prefix's depth; what has no boundary at depth 50 is a repeated interval.
+   Each interval's smallest document is taken, and the windows whose own document is larger are sent back to their shard, as bits.
 4. Each shard marks, joins and cuts its bytes.
 
-No suffixes are sorted anew in a merge, and no task holds more than a shard, a bucket's runs, or a slice of them.
+So hashing of windows finds what may repeat and brings it together, at a few bytes a key, and the merge of transforms decides what does:
+refining the interleave of whole shards costs dozens of passes over all bytes. In a merge the suffixes of different transforms are
+not compared or sorted anew; a pass sorts symbols. No task holds more than a shard, a bucket's runs, or a slice of them.
 
-A null text is empty; texts under 50 bytes have no windows. Rows of equal ids are no smaller than each other; a null id is larger
-than any other. An empty table gives an empty result. Other columns can be carried through, under any name.
+A null text is empty; texts under 50 bytes have no windows; a text of any length lies in one shard. Rows of equal ids are no smaller
+than each other; a null id is larger than any other; ids are cast to bigint, and one that is no number raises. An empty table gives an
+empty result. Other columns can be carried through, under any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get, put, release, shared_dir, string_column, trim, tune
+from .common import get, put, release, shared_dir, staged, string_column, trim, tune
 
 SPAN, K = 50, 24
 WIDE = SPAN - K + 1
@@ -39,6 +45,8 @@ SHARD_BYTES, BUCKET_BYTES, RUN, SLICE = 4 << 20, 6 << 20, 32, 320 << 10
 CONTENT = RUN + SPAN - 1
 #: Different runs of one key, about, beyond which its windows go out one by one, by their own bytes.
 HOT_RUNS = 20_000
+#: Shards in which a key may stand before its runs are combined by groups of shards.
+WIDE_SHARDS = 64
 LAST = np.iinfo("i8").max
 
 
@@ -298,17 +306,37 @@ def _shard(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[bounds[0] : bounds[-1]], bounds - bounds[0], ids
 
 
-def _by_bucket(keys: np.ndarray, buckets: int, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of keys by bucket, the buckets that have any, and their bounds in that order.
+def _by_cell(cell: np.ndarray, empty: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of rows by their cell, the cells that have any, and their bounds in that order.
 
-    Only these send and get rows, so rows follow the text, not shards x buckets. A shard without keys has one empty bucket.
+    Only these send and get rows, so rows follow the text, not shards x buckets. A shard without rows has one empty cell.
     """
-    if not len(keys):
-        return np.zeros(0, "i8"), np.array([shard % 16777213 % buckets]), np.zeros(2, "i8")
-    bucket = (keys % np.uint64(buckets)).astype("i8")
-    order = np.argsort(bucket, kind="stable")
-    names, first = np.unique(bucket[order], return_index=True)
-    return order, names, np.append(first, len(keys))
+    if not len(cell):
+        return np.zeros(0, "i8"), np.array([empty]), np.zeros(2, "i8")
+    order = np.argsort(cell, kind="stable")
+    names, first = np.unique(cell[order], return_index=True)
+    return order, names, np.append(first, len(cell))
+
+
+def _runs_table(shard: int, names: np.ndarray, pieces: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """Rows of the runs that a shard, or a group of them, sends to cells: bytes of content, windows, documents, keys."""
+    return pa.table({
+        "shard": pa.array([shard] * len(names), pa.int64()), "cell": pa.array(names, pa.int64()), "bits": pa.array([None] * len(names), pa.binary()),
+        "content": pa.array([c for c, *_ in pieces], pa.binary()), "windows": pa.array([w.astype("u1").tobytes() for _, w, *_ in pieces], pa.binary()),
+        "docs": pa.array([d.astype("<i8").tobytes() for _, _, d, _ in pieces], pa.binary()), "keys": pa.array([k.astype("<u8").tobytes() for *_, k in pieces], pa.binary()),
+    })
+
+
+def _received(t: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(runs of each row, content, size, documents, keys) of the rows that a cell got."""
+    windows = [np.frombuffer(x, "u1").astype("i8") for x in t.column("windows").to_pylist()]
+    size = np.concatenate(windows) + SPAN - 1
+    joined = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+    return [len(w) for w in windows], rows_of(joined("content", "u1"), size), size, joined("docs", "<i8"), joined("keys", "<u8")
+
+
+def _split(x: np.ndarray, n: list[int]) -> list[bytes]:
+    return [y.tobytes() for y in np.split(x, np.cumsum(n)[:-1])]
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
@@ -323,6 +351,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(df[id_col].cast("bigint").alias("__id"), string_column(df, text_col).cast("binary").alias("__text"), *(df[c].alias(f"c_{i}") for i, c in enumerate(carry)))
     total = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     buckets = max(64, -(-total // BUCKET_BYTES))
+    groups = math.isqrt(max(total // SHARD_BYTES, 1))
     # set by the text: the rows between the steps are small, and adaptive execution would join the tasks that expand them
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (3 * SHARD_BYTES)))
 
@@ -343,7 +372,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             low, high = np.full(len(keys), LAST), np.full(len(keys), -1)
             np.minimum.at(low, at, doc)
             np.maximum.at(high, at, doc)
-            order, names, cut = _by_bucket(keys, buckets, shard)
+            order, names, cut = _by_cell((keys % np.uint64(buckets)).astype("i8"), shard % 16777213 % buckets)
             six = keys[order].astype("<u8").view("u1").reshape(-1, 8)[:, :6]
             told = ((run_counts(text, start, length, at, len(keys)) << 1) | (low < high))[order]
             return pa.RecordBatch.from_pydict({"shard": [shard] * len(names), "bucket": names, "keys": [six[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], "told": [told[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}, schema=key_schema)
@@ -376,23 +405,23 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shared = (count > 1) | (np.bincount(at, told & 1, len(count)) > 0)
         hot = np.bincount(at, np.exp2(told >> 1), len(count)) > HOT_RUNS
         split = lambda x: [np.packbits(y).tobytes() for y in np.split(x[at], np.cumsum(n)[:-1])]
-        return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "bits": split(shared), "hot": split(hot)})
+        return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "bits": split(shared), "hot": split(hot), "wide": split(count > WIDE_SHARDS)})
 
     def candidate_runs(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
         text, bounds, ids = _shard(_table(get(f"{home}/shard-{shard}")))
         start, length, key, doc = runs_of(text, bounds)
         keys, at = np.unique(key, return_inverse=True)
-        order, names, cut = _by_bucket(keys, buckets, shard)
-        shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-        for b, *bits in zip(*(t.column(c).to_pylist() for c in ("bucket", "bits", "hot")), strict=True):
+        order, names, cut = _by_cell((keys % np.uint64(buckets)).astype("i8"), shard % 16777213 % buckets)
+        shared, hot, wide = (np.zeros(len(keys), bool) for _ in range(3))
+        for b, *bits in zip(*(t.column(c).to_pylist() for c in ("bucket", "bits", "hot", "wide")), strict=True):
             k = int(np.searchsorted(names, b))
-            for x, y in zip((shared, hot), bits, strict=True):
+            for x, y in zip((shared, hot, wide), bits, strict=True):
                 x[order[cut[k] : cut[k + 1]]] = np.unpackbits(np.frombuffer(y, "u1"), count=int(cut[k + 1] - cut[k]))
         take = shared[at]
-        start, length, key, doc, single = start[take], length[take], key[take], doc[take], hot[at][take]
+        start, length, key, doc, single, spread = start[take], length[take], key[take], doc[take], hot[at][take], wide[at][take]
         start, windows, which = cut_runs(start, length, np.where(single, 1, RUN))
-        key, doc, single = key[which], doc[which], single[which]
+        key, doc, single, spread = key[which], doc[which], single[which], spread[which]
         size = windows + SPAN - 1
         content = gathered(text, start, size)
         key = np.where(single, content_keys(content), key)
@@ -400,24 +429,45 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         low = np.full(len(first), LAST)
         np.minimum.at(low, same, ids[doc])
         put(f"{home}/runs-{shard}", _ipc(pa.table({"start": start, "windows": windows.astype("u1"), "doc": doc, "same": same, "low": low[same]})))
-        order, names, cut = _by_bucket(key[first], buckets, shard)
+        group = (shard >> 24) * 7919 + (shard & 0xFFFFFF)
+        # equal windows have equal keys, single ones by their bytes too, so what is equal goes one way in all shards
+        cell = (key[first] % np.uint64(buckets)).astype("i8") + np.where(spread[first], (1 + group % groups) * buckets, 0)
+        order, names, cut = _by_cell(cell, shard % 16777213 % buckets)
         put(f"{home}/order-{shard}", _ipc(pa.table({"order": order})))
         first, low = first[order], low[order]
         parts = [(first[a:b], low[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         inside = np.arange(content.shape[1])
-        return pa.table({
-            "shard": pa.array([shard] * len(names), pa.int64()), "bucket": pa.array(names, pa.int64()),
-            "content": [content[f][inside < size[f][:, None]].tobytes() for f, _ in parts], "windows": [windows[f].astype("u1").tobytes() for f, _ in parts],
-            "docs": [x.astype("<i8").tobytes() for _, x in parts], "keys": [key[f].astype("<u8").tobytes() for f, _ in parts],
-        })
+        return _runs_table(shard, names, [(content[f][inside < size[f][:, None]].tobytes(), windows[f], x, key[f]) for f, x in parts])
 
     def verdicts(t: pa.Table) -> pa.Table:
-        windows = [np.frombuffer(x, "u1").astype("i8") for x in t.column("windows").to_pylist()]
-        size = np.concatenate(windows) + SPAN - 1
-        joined = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        content = rows_of(joined("content", "u1"), size)
-        bits = smaller_elsewhere(content, size, joined("docs", "<i8"), joined("keys", "<u8")) if len(size) else np.zeros(0, "<u4")
-        return pa.table({"shard": t.column("shard"), "bucket": t.column("bucket"), "bits": [x.tobytes() for x in np.split(bits, np.cumsum([len(w) for w in windows])[:-1])]})
+        n, content, size, docs, keys = _received(t)
+        bits = smaller_elsewhere(content, size, docs, keys) if len(size) else np.zeros(0, "<u4")
+        return pa.table({"shard": t.column("shard"), "cell": t.column("cell"), "bits": pa.array(_split(bits, n), pa.binary())})
+
+    def first_meeting(t: pa.Table) -> pa.Table:
+        """The verdicts of a bucket; or, in a group of shards, their equal runs as one, sent on under the cell's own name."""
+        cell = t.column("cell")[0].as_py()
+        if cell < buckets:
+            out = verdicts(t)
+            for c in ("content", "windows", "docs", "keys"):
+                out = out.append_column(c, pa.nulls(len(out), pa.binary()))
+            return out
+        n, content, size, docs, keys = _received(t)
+        first, same = collapse(content, size)
+        low = np.full(len(first), LAST)
+        np.minimum.at(low, same, docs)
+        put(f"{home}/group-{cell}", _ipc(pa.table({"same": same, "above": docs > low[same], "shard": np.repeat(t.column("shard").to_numpy(), n)})))
+        inside = np.arange(content.shape[1]) < size[first][:, None]
+        return _runs_table(cell, np.array([cell % buckets]), [(content[first][inside].tobytes(), size[first] - SPAN + 1, low, keys[first])])
+
+    def handed_back(t: pa.Table) -> pa.Table:
+        """A group's verdicts to its shards: a document above the group's smallest has all windows of the run elsewhere."""
+        cell = t.column("shard")[0].as_py()
+        own = _table(get(f"{home}/group-{cell}"))
+        same, above, shard = (own.column(c).to_numpy(zero_copy_only=False) for c in ("same", "above", "shard"))
+        bits = np.where(above, np.uint32(0xFFFFFFFF), np.frombuffer(t.column("bits")[0].as_py(), "<u4")[same]).astype("<u4")
+        begin = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, "i8")
+        return pa.table({"shard": pa.array(shard[begin], pa.int64()), "cell": pa.array([cell] * len(begin), pa.int64()), "bits": pa.array(_split(bits, np.diff(np.append(begin, len(shard))).tolist()) if len(begin) else [], pa.binary())})
 
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + ([("kept", pa.string())] if with_text else [])
 
@@ -427,7 +477,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         text, bounds, ids = _shard(table)
         runs = _table(get(f"{home}/runs-{shard}"))
         order = _table(get(f"{home}/order-{shard}")).column("order").to_numpy()
-        answer = sorted(zip(t.column("bucket").to_pylist(), t.column("bits").to_pylist(), strict=True))
+        answer = sorted(zip(t.column("cell").to_pylist(), t.column("bits").to_pylist(), strict=True))
         bits = np.zeros(len(order), "u4")
         bits[order] = np.frombuffer(b"".join(x for _, x in answer), "<u4")
         start, windows, doc, same, low = (runs.column(c).to_numpy() for c in ("start", "windows", "doc", "same", "low"))
@@ -463,9 +513,18 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return run
 
+    def meet(df: DataFrame, by: str, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+        """fn over the groups of by; the numbers are dealt out in turn, so that no task gets many of them by chance."""
+        dealt = df.withColumn("slot", F.pmod(F.col(by), F.lit(tasks)).cast("int")).repartitionById(tasks, "slot")
+        return dealt.groupBy("slot", by).applyInArrow(lambda t: trimmed(fn)(t.drop_columns(["slot"])), schema)
+
+    verdict = "shard bigint, cell bigint, bits binary"
+    runs = f"{verdict}, content binary, windows binary, docs binary, keys binary"
     told = rows.mapInArrow(shards, "shard bigint, bucket bigint, keys binary, told binary")
-    told = told.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(trimmed(shared_keys), "shard bigint, bucket bigint, bits binary, hot binary")
-    told = told.repartition(tasks, "shard").groupBy("shard").applyInArrow(trimmed(candidate_runs), "shard bigint, bucket bigint, content binary, windows binary, docs binary, keys binary")
-    told = told.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(trimmed(verdicts), "shard bigint, bucket bigint, bits binary")
+    told = meet(told, "bucket", shared_keys, "shard bigint, bucket bigint, bits binary, hot binary, wide binary")
+    told = told.repartition(tasks, "shard").groupBy("shard").applyInArrow(trimmed(candidate_runs), runs)
+    met = staged(meet(told, "cell", first_meeting, runs))
+    again = meet(met.where("content IS NOT NULL"), "cell", verdicts, verdict)
+    told = met.where("content IS NULL").select("shard", "cell", "bits").unionAll(meet(again, "shard", handed_back, verdict))
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if with_text else "") + "".join(f", c_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     return told.repartition(tasks, "shard").groupBy("shard").applyInArrow(trimmed(cut), schema)

@@ -427,6 +427,7 @@ def test_suffix_dedup(odd, empty, small, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 5000)
         monkeypatch.setattr(suffix_dedup, "SLICE", 3000)
         monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 3)
+        monkeypatch.setattr(suffix_dedup, "WIDE_SHARDS", 2)
     got = suffix_dedup.suffix_dedup(df, carry=("source", "key", "id"), with_text=True)
     assert sorted_rows(got, *SUFFIX) == brute_removed(rows)
     assert {r.c_0 for r in got.collect()} == {"s"}
