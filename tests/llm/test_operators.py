@@ -131,6 +131,40 @@ def kinds_of(text):
     return {k for _, k, _ in secret_scan.find_secrets(text)[1]}
 
 
+def _mapped(text, parts):
+    """(encoded text, for each character of text its span there), from the encoded pieces of its characters."""
+    ends = np.cumsum([0, *map(len, parts)])
+    return "".join(parts), list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+
+
+ENCODERS = {
+    "url": lambda t: _mapped(t, [f"%{ord(c):02x}" for c in t]),
+    "unicode": lambda t: _mapped(t, [f"\\u{ord(c):04X}" for c in t]),
+    "entity": lambda t: _mapped(t, [f"&#{ord(c)};" for c in t]),
+    "octal": lambda t: _mapped(t, [f"\\{ord(c):03o}" for c in t]),
+    "hex": lambda t: _mapped(t, [f"{ord(c):02X}" for c in t]),
+    "base64": lambda t: (base64.b64encode(t.encode()).decode(), [(8 * k // 6, (8 * k + 13) // 6) for k in range(len(t))]),
+    "packed": lambda t: (x := base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(), [(0, len(x))] * len(t)),
+}
+
+
+def test_secret_spans_of_nested_layers():
+    """Spans against those that the encoders themselves give, layer by layer."""
+    g = np.random.default_rng(16)
+    for _ in range(400):
+        text = f"{'some words before '[: g.integers(0, 18)]} {KEY} {'and after it'[: g.integers(0, 12)]}"
+        a = text.index(KEY)
+        b = a + len(KEY)
+        for name in g.choice(list(ENCODERS), int(g.integers(1, 4))):
+            if len(text) > 2000:
+                break
+            text, spans = ENCODERS[name](text)
+            a, b = min(x for x, _ in spans[a:b]), max(y for _, y in spans[a:b])
+        before = "é then: "
+        found = secret_scan.find_secrets(f"{before}{text} ; end")[1]
+        assert [(x, y) for x, k, y in found if k == 1] == [(len(before) + a, len(before) + b)]
+
+
 def test_secret_spans_are_exact_inside_escapes():
     text = "x " + "".join(f"%{b:02X}" for b in f"a {KEY} b".encode())
     assert (2 + 6, 1, 2 + 6 + 3 * len(KEY)) in secret_scan.find_secrets(text)[1]
@@ -163,14 +197,66 @@ def test_secret_quoted_packed_bytes():
     assert secret_scan.find_secrets(f"%C3%A9 {KEY}")[1] == [(7, 1, 7 + len(KEY))]
 
 
-def test_secret_bombs_stay_small(monkeypatch):
-    monkeypatch.setattr(secret_scan, "MAX_UNPACKED", 8 << 20)
-    for pack in (gzip.compress, zstandard.compress, bz2.compress, lzma.compress):
-        out, taken = secret_scan.unpack(pack(b"a" * (64 << 20)))
-        assert len(out) <= 8 << 20 and taken
-    assert secret_scan.unpack(b"plain") is None and secret_scan.unpack(b"") is None
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, zstandard.compress, bz2.compress, lzma.compress])
+def test_secret_behind_much_unpacked_data(pack, monkeypatch):
+    """Nothing is cut off where unpacked data is larger than a block: a key at any place, in a run or a member that crosses windows."""
+    monkeypatch.setattr(secret_scan, "BLOCK", 6000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 500)
+    monkeypatch.setattr(secret_scan, "STEP", 1000)
+    g = np.random.default_rng(21)
+    noise = lambda n: "".join(g.choice(list("ghijkl mnopq, "), n))
+    long_run = base64.b64encode(f"{noise(20_000)} {KEY} {noise(20_000)}".encode()).decode()
+    member = gzip.compress(f"{g.bytes(9000).hex(' ')} {KEY} {g.bytes(9000).hex(' ')}".encode())
+    wrapped = "\n".join(long_run[k : k + 76] for k in range(0, len(long_run), 76))
+    for inner in (f"{noise(80_000)} {KEY} {noise(1000)}".encode(), noise(30_000).encode() + long_run.encode() + b" end", noise(5990).encode() + wrapped.encode() + b"\n,", noise(5500).encode() + member + noise(9000).encode(), noise(5998).encode() + base64.b64encode(member) + b"."):
+        text = f"é see {base64.b64encode(pack(inner)).decode()} end"
+        found = secret_scan.Search(text)
+        assert {k for _, k, _ in found.found if k == 1} == {1} and found.unread == 0
+        assert KEY not in secret_scan.redact(text) and secret_scan.redact(text).endswith(" end")
+    blank = f"é {base64.b64encode(pack(('password' + ' ' * 40_000 + ': ' + 'q7' * 10).encode())).decode()} end"
+    assert 0 in kinds_of(blank)
+
+
+def test_secret_bombs_stay_small():
+    import resource
+
+    bomb = gzip.compress(b"\0" * (100 << 20))
+    text = f"a {base64.b64encode(bomb).decode()} then {base64.b64encode(gzip.compress(KEY.encode())).decode()} b"
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert {k for _, k, _ in secret_scan.find_secrets(text)[1]} >= {1}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 128 << 10
+    assert list(secret_scan.Unpacked([b"plain"])) == [] and list(secret_scan.Unpacked([])) == []
     half = gzip.compress(f"token={'q7' * 10} ".encode() * 50)[:-6]
-    assert secret_scan.unpack(half)[0].startswith(b"token=q7")
+    found = secret_scan.Unpacked([half])
+    assert b"".join(found).startswith(b"token=q7") and not found.whole
+    wide = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28, enable_ldm=False))
+    big = wide.compressobj()
+    refused = big.compress(KEY.encode()) + big.flush()
+    assert secret_scan.Search(f"a {base64.b64encode(refused).decode()} b").unread >= 1
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda s: base64.b64encode(s.encode("utf-16-le")).decode(),
+        lambda s: base64.b64encode(s.encode("utf-16")).decode(),
+        lambda s: base64.b64encode(s.encode("utf-16-be")).decode(),
+        lambda s: base64.b64encode(s.encode("utf-32-le")).decode(),
+        lambda s: s.encode().hex(),
+        lambda s: s.encode().hex().upper(),
+        lambda s: "0" + gzip.compress(s.encode()).hex(),
+        lambda s: "".join(f"\\{ord(c):03o}" for c in s),
+        lambda s: base64.b64encode(gzip.compress(gzip.compress(s.encode()))).decode(),
+        lambda s: base64.b64encode(bz2.compress(b"\xff\x00" + zlib.compress(s.encode()))).decode(),
+        lambda s: "".join(f"%{b:02x}" for b in s.encode("utf-16-le")),
+    ],
+)
+def test_secret_other_layers(wrap):
+    inner = wrap(f"use {KEY} here")
+    text = f"é before {inner} after"
+    at = text.index(inner)
+    assert [s for s in secret_scan.find_secrets(text)[1] if s[1] == 1 and at <= s[0] < s[2] <= at + len(inner)]
+    assert secret_scan.redact(text).endswith(" after")
 
 
 def test_secret_cycles_and_bombs_end():
