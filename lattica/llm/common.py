@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -217,3 +218,59 @@ def connected_components(edges: DataFrame) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+
+
+def component_lows(classes: DataFrame, reached: DataFrame, name: str) -> DataFrame:
+    """(name, low): for each of classes(name, low) the least low of its component, by reached(node, component).
+
+    A class of no component keeps its own. The least are written first, so that the join of a large component is one of
+    two plain shuffles, which adaptive execution splits or turns into a broadcast of checked size.
+    """
+    wide = staged(classes.join(reached, F.col(name) == F.col("node"), "left").select(name, "low", "component"))
+    lows = staged(wide.where("component IS NOT NULL").groupBy("component").agg(F.min("low").alias("least")))
+    linked = wide.where("component IS NOT NULL").join(lows, "component").select(name, F.col("least").alias("low"))
+    return wide.where("component IS NULL").select(name, "low").unionAll(linked)
+
+
+#: Bits of the bitmaps that tasks hold, of hashes: 4 MB whatever the input.
+BITS = 1 << 25
+
+
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """BITS bits, of which those at the values' low bits are set."""
+    at = F.col(column).bitwiseAND(F.lit(BITS - 1))
+    words = values.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, "i8")
+    out[words["w"].to_numpy("i8")] = words["bits"].to_numpy("i8")
+    return out
+
+
+def in_bitmap(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = x & (64 * len(bits) - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def kept_rows(rows: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
+    """rows but those whose keys are gone by decided(keys, gone, repeated); of rows alike in all columns one stays where repeated.
+
+    The first key is a hash. Two bitmaps settle most rows where they lie: what is not among the gone stays, what is not
+    among the kept goes. Only the others, which chance or repetition puts into both, are shuffled and joined; when the bitmaps are
+    full, those are all that have a gone row's hash bits.
+    """
+    at, sc = keys[0], rows.sparkSession.sparkContext
+    gone, kept = (sc.broadcast(bitmap(decided.where(c), at)) for c in ("gone OR repeated", "NOT gone"))
+
+    @F.pandas_udf("int")
+    def settled(x: pd.Series) -> pd.Series:
+        h = x.to_numpy("i8")
+        return pd.Series(np.where(in_bitmap(gone.value, h), np.where(in_bitmap(kept.value, h), 2, 1), 0).astype("i4"))
+
+    told = rows.withColumn("__settled", settled(at))
+    lost = decided.where("gone").select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    rest = told.where("__settled = 2").drop("__settled").join(lost, same, "left_anti")
+    again = decided.where("repeated").select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    one = rest.join(again, same, "left_semi").dropDuplicates()
+    return told.where("__settled = 0").drop("__settled").unionAll(rest.join(again, same, "left_anti")).unionAll(one)

@@ -1,14 +1,14 @@
 """Near copies by content: texts whose sets of word shingles have a Jaccard similarity of at least LEAST are linked.
 
-Candidates come from MinHash: BANDS keys of ROWS minima each, so that a pair at the threshold meets in no cell with
-probability (1 - 0.8^7)^50 < 1e-5. A SimHash radius can't do that: at this similarity about 10 of 64 bits differ, give or
-take 3. Cells only say which texts may be linked at all. Texts that cells connect are a candidate group, and inside it every
-pair is decided by the exact similarity of the sets (of 64-bit hashes); a group of more than SHARD is dealt in blocks that
-meet pairwise, so no pair of it is lost.
+Candidates come from two sides. SimHash, the operator of simhash.py, links fingerprints within a few bits by its BK-trees; at this
+similarity about 10 of 64 bits differ, give or take 3, so it finds the closest copies only. MinHash reaches the others: BANDS keys of ROWS
+minima each, so that a pair at the threshold meets in no cell with probability (1 - 0.8^7)^50 < 1e-5. Both only say which texts may
+be linked at all. Texts that they connect are a candidate group, and inside it every pair is decided by the exact similarity
+of the sets (of 64-bit hashes); a group of more than SHARD is dealt in blocks that meet pairwise, so no pair of it is lost.
 
 Texts of one set are one class. Words part at space and at 0x09 to 0x0D, and ASCII letters are lowered; a text of fewer words
-than a shingle is a shingle of its own, and texts without words are alike. Null ids belong to components but name none. Rows
-repeat as they come. An empty table gives an empty result. Extra columns are ignored.
+than a shingle is a shingle of its own, and texts without words are alike; very long texts are taken whole. Null ids belong to
+components but name none. Rows repeat as they come. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import deal, grouped
-from .common import connected_components, map_arrow, staged, string_column
-from .simhash import LOWER
+from .common import bitmap, component_lows, connected_components, discard, in_bitmap, kept_rows, map_arrow, staged, staged_at, string_column
+from .simhash import LOWER, fingerprint_links, fingerprints
 
 #: The least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS = 50, 7
 #: Classes in a block of a candidate group at most.
 SHARD = 1024
-#: Bits of the bitmaps that tasks hold of shared keys and of candidates.
-BITS = 1 << 25
+#: Bits within which SimHash links candidates.
+RADIUS = 4
 
 _random = np.random.default_rng(42)
 _WORD = _random.integers(0, 1 << 64, 64, "u8") | np.uint64(1)
@@ -100,59 +100,59 @@ def exact_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, "i8"), np.array(b, "i8")
 
 
-def _sketches(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, cls, keys, shingles): one pass, no shuffle."""
-    id_type = df.schema[id_col].dataType.simpleString()
+def _sketches(rows: DataFrame, size: int) -> DataFrame:
+    """(id, row, txt, cls, fp, keys) of rows(id, row, text): one pass, no shuffle; txt is a hash of the text, cls of its set."""
+    id_type = rows.schema["id"].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set((t or "").encode(), size) for t in b.column(1).to_pylist()]
-        raw = [s.tobytes() for s in sets]
-        cls = np.array([xxhash.xxh64_intdigest(r) for r in raw], "u8").view("i8")
+        raws = [t.encode() for t in b.column(3).to_pylist()]
+        sets = [shingle_set(t, size) for t in raws]
+        cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "u8").view("i8")
         keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype="i4")), pa.array(band_keys(sets).ravel().view("i8")))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(cls), keys, pa.array(raw, pa.binary())], ["id", "cls", "keys", "shingles"])
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cls), pa.array(fingerprints(raws, size).view("i8")), keys], ["id", "row", "txt", "cls", "fp", "keys"])
 
-    return map_arrow(df.select(df[id_col].alias("id"), string_column(df, text_col).alias("text")), run, f"id {id_type}, cls bigint, keys array<bigint>, shingles binary")
-
-
-def _bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """BITS bits, of which those at the values' low bits are set: what the driver sees is bounded whatever the input."""
-    at = F.col(column).bitwiseAND(F.lit(BITS - 1))
-    words = values.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("bits")).toPandas()
-    out = np.zeros(BITS // 64, "i8")
-    out[words["w"].to_numpy("i8")] = words["bits"].to_numpy("i8")
-    return out
-
-
-def _in(bitmap: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = x & (BITS - 1)
-    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
+    return map_arrow(rows.select("id", "row", F.xxhash64("text").alias("txt"), "text"), run, f"id {id_type}, row bigint, txt bigint, cls bigint, fp bigint, keys array<bigint>")
 
 
 def _candidates(sketches: DataFrame) -> DataFrame:
-    """(cls, key): the classes that share a cell with another, by the group that cells connect.
+    """(cls, key): the classes that share a cell with another or are linked by SimHash, by the group that these connect.
 
     A bitmap of the shared keys sorts out most others before the join; those it lets through by chance fall out there.
     """
     cells = sketches.select("cls", F.explode("keys").alias("key")).groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("last"))
     shared = staged(cells.where("lead < last").select("key", "lead"))
-    bitmap = sketches.sparkSession.sparkContext.broadcast(_bitmap(shared, "key"))
+    bits = sketches.sparkSession.sparkContext.broadcast(bitmap(shared, "key"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         keys = b.column(1).flatten().to_numpy()
-        hit = np.flatnonzero(_in(bitmap.value, keys))
+        hit = np.flatnonzero(in_bitmap(bits.value, keys))
         return pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[hit // BANDS]), pa.array(keys[hit])], ["cls", "key"])
 
     keyed = map_arrow(sketches.select("cls", "keys"), run, "cls bigint, key bigint").distinct()
     edges = keyed.join(shared, "key").where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
-    return connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("key"))
+    prints = staged(sketches.select("fp", "cls").distinct())
+    leads = staged(prints.groupBy("fp").agg(F.min("cls").alias("lead")))
+    same = prints.join(leads, "fp").where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b"))
+    close = fingerprint_links(leads.select("fp"), leads.count(), RADIUS)
+    named = close.join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return connected_components(edges.unionAll(same).unionAll(named)).select(F.col("node").alias("cls"), F.col("component").alias("key"))
 
 
-def _links(sketches: DataFrame) -> DataFrame:
-    """Edges (a, b) of classes that are near copies, enough to connect each component."""
+def _links(rows: DataFrame, sketches: DataFrame, size: int) -> DataFrame:
+    """Edges (a, b) of classes that are near copies, enough to connect each component. The sets of candidates are made anew."""
     found = staged(_candidates(sketches))
-    bitmap = sketches.sparkSession.sparkContext.broadcast(_bitmap(found, "cls"))
-    likely = map_arrow(sketches.select("cls", "shingles"), lambda b: b.filter(pa.array(_in(bitmap.value, b.column(0).to_numpy()))), "cls bigint, shingles binary")
-    sets = likely.join(found, "cls").dropDuplicates(["cls"]).withColumn("t", F.lit(0))
+    sc = sketches.sparkSession.sparkContext
+    classes = sc.broadcast(bitmap(found, "cls"))
+    likely = map_arrow(sketches.select("txt", "cls"), lambda b: b.filter(pa.array(in_bitmap(classes.value, b.column(1).to_numpy()))), "txt bigint, cls bigint")
+    bits = sc.broadcast(bitmap(likely, "txt"))
+
+    def sets_of(b: pa.RecordBatch) -> pa.RecordBatch:
+        hit = np.flatnonzero(in_bitmap(bits.value, b.column(0).to_numpy()))
+        raw = [shingle_set(t.encode(), size).tobytes() for t in b.column(1).take(pa.array(hit)).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(r) for r in raw], "u8").view("i8")), pa.array(raw, pa.binary())], ["cls", "shingles"])
+
+    again = map_arrow(rows.select(F.xxhash64("text").alias("txt"), "text"), sets_of, "cls bigint, shingles binary")
+    sets = again.join(found, "cls").dropDuplicates(["cls"]).withColumn("t", F.lit(0))
     dealt = grouped(deal(sets, found.select(F.lit(0).alias("t"), "key"), SHARD, "cls"), found.count(), 2000)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,11 +167,32 @@ def _links(sketches: DataFrame) -> DataFrame:
     return dealt.groupBy("grp").applyInPandas(run, "a bigint, b bigint")
 
 
+def _grouped_rows(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, low) of every row, row being a hash of all its columns: low is the first (nulls last) id and row of its component."""
+    rows = df.select(df[id_col].alias("id"), F.xxhash64(*(df[c] for c in df.columns)).alias("row"), string_column(df, text_col).alias("text"))
+    sketches, path = staged_at(_sketches(rows, size))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    classes = staged(sketches.groupBy("cls").agg(F.min(order).alias("low")))
+    reached = connected_components(_links(rows, sketches, size))
+    lows = component_lows(classes, reached, "cls")
+    out = staged(sketches.select("id", "row", "cls").join(lows, "cls").select("id", "row", "low"))
+    discard(path)
+    return out
+
+
 def near_copy_components(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): component_id is the smallest id reachable over near copies."""
-    sketches = staged(_sketches(df, size, id_col, text_col))
-    classes = staged(sketches.groupBy("cls").agg(F.min("id").alias("low")))
-    reached = connected_components(_links(sketches))
-    wide = staged(classes.join(reached, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("component", "cls").alias("root")))
-    lows = wide.groupBy("root").agg(F.min("low").alias("component_id"))
-    return sketches.select("id", "cls").join(wide.join(lows, "root").select("cls", "component_id"), "cls").select(F.col("id").alias(id_col), "component_id")
+    return _grouped_rows(df, size, id_col, text_col).select(F.col("id").alias(id_col), F.col("low.id").alias("component_id"))
+
+
+def first_of_copies(df: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id (null ids last), of equal ids that of the smallest
+    hash of all columns, of rows equal in everything any. Columns are of types that xxhash64 takes. Texts stay where they lie, see kept_rows().
+    """
+    told = _grouped_rows(df, size, id_col, text_col)
+    first = ~F.col("id").eqNullSafe(F.col("low.id")) | (F.col("row") != F.col("low.row"))
+    counted = told.groupBy("row", "id", first.alias("gone")).agg(F.count(F.lit(1)).alias("n"))
+    decided = staged(counted.select("row", "id", "gone", (~F.col("gone") & (F.col("n") > 1)).alias("repeated")))
+    named = df.select("*", F.xxhash64(*(df[c] for c in df.columns)).alias("__row"), df[id_col].alias("__id"))
+    out = kept_rows(named, decided.select(F.col("row").alias("__row"), F.col("id").alias("__id"), "gone", "repeated"), ["__row", "__id"])
+    return out.select(*(F.col(f"`{c}`") for c in df.columns))

@@ -4,9 +4,10 @@ Each class has a mean and a covariance, shrunk towards the pooled one and toward
 logistic of the difference of Mahalanobis log densities, from cached Cholesky factors. Class sums are added up per task
 over all labelled rows, so the driver only sees (1 + d + d*d) numbers a task and class.
 
-A null or empty text has the statistics of the empty text and a score like any other; rows without a label only get a score; a class
-without rows takes the pooled figures (no labelled rows at all: every score is the prior 0.5); repeated rows repeat; an
-empty table gives an empty result. Label, language, source and id are no input of a score.
+A null or empty text has the statistics of the empty text and a score like any other; very long texts are taken whole; rows without
+a label only get a score; a class without rows takes the pooled figures (no labelled rows at all: every score is the prior 0.5);
+repeated rows repeat; a score equal to the cut is predicted 1; an empty table gives an empty result. Extra columns are ignored under any
+name. Label, language, source and id are no input of a score.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def statistics(raws: list[bytes]) -> np.ndarray:
 @dataclasses.dataclass
 class Discriminant:
     means: np.ndarray
-    factors: np.ndarray  # lower Cholesky factor of each class's covariance
+    factors: np.ndarray  # the inverse of the lower Cholesky factor of each class's covariance, itself lower triangular
     log_dets: np.ndarray
     log_priors: np.ndarray
     degrees: float
@@ -61,11 +62,19 @@ class Discriminant:
             return np.zeros(0)
         out = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
+            z = self.factors[k] @ (x - self.means[k]).T
             out.append(self.log_priors[k] - self.log_dets[k] - 0.5 * (z * z).sum(0))
         return 1 / (1 + np.exp(np.clip(out[0] - out[1], -500, 500)))
 
 
+def inverse(low: np.ndarray) -> np.ndarray:
+    """Of a lower triangular matrix, by forward substitution; done once, so that scoring is one product a class."""
+    out = np.zeros_like(low)
+    for i in range(len(low)):
+        out[i] = ((np.arange(len(low)) == i) - low[i, :i] @ out[:i]) / low[i, i]
+    return out
+
+
 def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink_pooled: float = 0.5, shrink_diagonal: float = 0.1, floor: float = 0.01) -> Discriminant:
     """sums: per class the number of rows, the sum of x, the sum of x x'."""
     d = len(FEATURES)
@@ -82,21 +91,21 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink_pooled: fl
         c = (1 - shrink_diagonal) * c + shrink_diagonal * np.diag(np.diag(c)) + floor * np.eye(d)
         low = np.linalg.cholesky(c)
         means.append(s[k] / n[k] if n[k] else (s[0] + s[1]) / total)
-        factors.append(low)
+        factors.append(inverse(low))
         dets.append(np.log(np.diag(low)).sum())
     return Discriminant(np.array(means), np.array(factors), np.array(dets), np.log((np.array(n) + 1) / (total + 2)), total)
 
 
-def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x array<double>); one pass, no shuffle."""
-    id_type = df.schema[id_col].dataType.simpleString()
+def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, x array<double>[, carried columns]); one pass, no shuffle."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in [("id", df.schema[id_col].dataType.simpleString()), ("x", "array<double>"), *((c, df.schema[c].dataType.simpleString()) for c in carry)])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         x = statistics([(t or "").encode() for t in b.column(1).to_pylist()])
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-        return pa.RecordBatch.from_arrays([b.column(0), flat], ["id", "x"])
+        return pa.RecordBatch.from_arrays([b.column(0), flat, *b.columns[2:]], ["id", "x", *carry])
 
-    return map_arrow(df.select(df[id_col].alias("id"), string_column(df, text_col).alias("text")), run, f"id {id_type}, x array<double>").withColumnRenamed("id", id_col)
+    return map_arrow(df.select(df[id_col].alias("id"), string_column(df, text_col).alias("text"), *carry), run, schema).withColumnRenamed("id", id_col)
 
 
 def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -135,14 +144,15 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Discri
     return fit(class_sums(stats.join(y, id_col)))
 
 
-def score(stats: DataFrame, model: Discriminant, id_col: str = "doc_id") -> DataFrame:
+def score(stats: DataFrame, model: Discriminant, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score[, carried columns])."""
     d = len(FEATURES)
-    id_type = stats.schema[id_col].dataType.simpleString()
+    schema = ", ".join(f"`{n}` {t}" for n, t in [("id", stats.schema[id_col].dataType.simpleString()), ("score", "double"), *((c, stats.schema[c].dataType.simpleString()) for c in carry)])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(np.asarray(b.column(1).flatten()).reshape(-1, d)))], ["id", "score"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(np.asarray(b.column(1).flatten()).reshape(-1, d))), *b.columns[2:]], ["id", "score", *carry])
 
-    return map_arrow(stats.select(F.col(id_col).alias("id"), "x"), run, f"id {id_type}, score double").withColumnRenamed("id", id_col)
+    return map_arrow(stats.select(F.col(id_col).alias("id"), "x", *carry), run, schema).withColumnRenamed("id", id_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

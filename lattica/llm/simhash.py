@@ -7,7 +7,7 @@ within the radius of its own distance. m grows with the number of classes, so ce
 found. A shard's tree goes only to the tasks that hold its queries: its size is bounded by the block, whereas the trees of
 all shards grow with the input and are not broadcast to all.
 
-A null text has no words (fingerprint 0, linked like any other). Null ids belong to components but name none. Rows repeat as
+A null text has no words (fingerprint 0, linked like any other); a very long one is taken whole. Null ids belong to components but name none. Rows repeat as
 they come. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import deal, grouped
-from .common import connected_components, local_components, map_arrow, popcount, staged, string_column
+from .common import component_lows, connected_components, local_components, map_arrow, popcount, staged, string_column
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Fingerprints in a shard's tree at most.
@@ -156,7 +156,5 @@ def simhash_components(df: DataFrame, size: int = 4, radius: int = 4, id_col: st
     prints = staged(simhash_fingerprints(df, size, id_col, text_col))
     classes = staged(prints.groupBy("fp").agg(F.min(id_col).alias("low")))
     reached = connected_components(fingerprint_links(classes, classes.count(), radius))
-    wide = classes.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    wide = staged(wide)
-    lows = wide.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(wide.join(lows, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    lows = component_lows(classes, reached, "fp").withColumnRenamed("low", "component_id")
+    return prints.join(lows, "fp").select(id_col, "fp", "component_id")

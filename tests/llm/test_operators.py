@@ -12,6 +12,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 import zstandard
@@ -459,6 +461,29 @@ def test_quality(odd, empty, spark):
     assert quality.classify(empty, labels).count() == 0
 
 
+def test_quality_is_the_discriminant(spark):
+    """Scores against densities with full inverses and determinants, from sums over all rows at once."""
+    g = np.random.default_rng(17)
+    vocab = ["".join(g.choice(list("abcdefgh"), g.integers(1, 9))) for _ in range(60)]
+    texts = [" ".join(g.choice(vocab[: 60 if k % 2 else 9], int(g.integers(5, 120)))) + ("." if k % 3 else " 7|#") for k in range(160)] + ["", "x" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    y = {k: int(k % 2 ^ (k % 11 == 0)) for k in range(160)}
+    got = {r.doc_id: r.score for r in quality.classify(docs, spark.createDataFrame(list(y.items()), "doc_id bigint, quality int")).collect()}
+    x = quality.statistics([t.encode() for t in texts])
+    learned = [k for k in y if not quality.is_held_out(k)]
+    own = [x[[k for k in learned if y[k] == c]] for c in (0, 1)]
+    pooled = sum((len(z) - 1) * np.cov(z.T) for z in own) / (len(learned) - 2)
+    logs = []
+    for z in own:
+        c = 0.5 * np.cov(z.T) + 0.5 * pooled
+        c = 0.9 * c + 0.1 * np.diag(np.diag(c)) + 0.01 * np.eye(len(c))
+        d = x - z.mean(0)
+        logs.append(np.log((len(z) + 1) / (len(learned) + 2)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, abs=1e-9)
+    assert 0.05 < np.mean((want > 0.01) & (want < 0.99))
+
+
 # 6
 
 
@@ -575,6 +600,48 @@ def test_embedding_components(spark, block, monkeypatch):
     assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_at_many_bits(spark, tmp_path):
+    """Planted links close above the threshold among 33,000 vectors, where tables have more bits: every one is found, none below."""
+    g = np.random.default_rng(18)
+    n, planted, dim = 33_000, 400, 64
+    x = g.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(planted):  # 2k and 2k + 1 at a cosine of 0.95 to 0.96, every fourth pair close below
+        cos = 0.9501 + 0.01 * g.random() if k % 4 else 0.9499 - 0.01 * g.random()
+        side = x[2 * k + 1] - (x[2 * k + 1] @ x[2 * k]) * x[2 * k]
+        x[2 * k + 1] = cos * x[2 * k] + math.sqrt(1 - cos * cos) * side / np.linalg.norm(side)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.astype("f4").ravel()), dim).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": flat}), f"{tmp_path}/v.parquet", row_group_size=4096)
+    df = spark.read.parquet(f"{tmp_path}/v.parquet")
+    assert embedding_dedup.plan(n, 0.95, 1e-4)[0] > 6
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_components(df).where("n_links > 0").collect()}
+    y = x.astype("f4").astype("f8")
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want: dict = {}
+    for lo in range(0, n, 3000):
+        for a, b in zip(*np.nonzero(y[lo : lo + 3000] @ y.T >= 0.95), strict=True):
+            if lo + a != b:
+                want.setdefault(int(lo + a), []).append(int(b))
+    assert len(want) == 2 * (planted - planted // 4)
+    found = sum(got.get(a, (0, 0))[0] == len(b) for a, b in want.items())
+    assert found / len(want) >= 0.99 and set(got) <= set(want)
+    assert all(got[a][1] == min(a, *b) for a, b in want.items() if a in got)
+
+
+@pytest.mark.parametrize("n", [2000, 10**5, 10**7, 10**9])
+def test_embedding_plan_finds_pairs_at_the_threshold(n):
+    """Hashes of pairs at a cosine of 0.95, by the bits and tables for n classes."""
+    g = np.random.default_rng(19)
+    bits, tables = embedding_dedup.plan(n, 0.95, 1e-4)
+    a, b = g.standard_normal((2, 500, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.95 * a + math.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    planes = g.standard_normal((32, bits * tables))
+    same = ((a @ planes > 0) == (b @ planes > 0)).reshape(500, tables, bits).all(2).any(1)
+    assert same.mean() >= 0.99
+
+
 # 10
 
 
@@ -677,6 +744,22 @@ def test_near_copies(odd, empty, spark, monkeypatch):
     assert near_copies.near_copy_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 25, 64])
+def test_first_of_copies(spark, monkeypatch, bits):
+    """Repeated ids with other texts, repeated rows, null ids, tied rows that differ in a column; with full bitmaps too."""
+    monkeypatch.setattr(common, "BITS", bits)
+    a, b, c = ("alpha " * 3 + " ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = a.replace("a59", "other")
+    rows = [(1, a, "en", None), (3, b, "en", 1), (3, a, "en", 2), (3, a, "en", 2), (5, c, "en", 1), (5, c, "de", 1), (None, near, "en", 1), (None, "of no id", "en", 1), (None, "of no id", "en", 1), (7, c, "en", 1), (8, None, "en", 1), (9, "", "en", 1), (2, near, "en", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, id int").repartition(3)
+    got = sorted((tuple(r) for r in near_copies.first_of_copies(df).collect()), key=repr)
+    five = [r for r in got if r[0] == 5]
+    assert len(five) == 1 and five[0] in rows
+    assert [r for r in got if r[0] != 5] == sorted([rows[0], rows[1], (None, "of no id", "en", 1), rows[10]], key=repr)
+    assert got == sorted((tuple(r) for r in near_copies.first_of_copies(df.repartition(2)).collect()), key=repr)
+    assert near_copies.first_of_copies(df.limit(0)).count() == 0
+
+
 def test_near_copy_keys_meet_as_often_as_they_should():
     g = np.random.default_rng(14)
     hit = []

@@ -47,6 +47,18 @@ def test_stages_on_odd_rows(spark):
     assert pipeline.quality(spark, docs, DATA).count() <= len(rows)
 
 
+def test_repeated_ids_and_clashing_columns(spark):
+    """An exact copy under an id that another text has goes; extra columns of any name come through."""
+    a, b = " ".join(f"one{k}" for k in range(50)) + ".", " ".join(f"two{k}" for k in range(50)) + "."
+    extra = "id string, row int, txt int, cls bigint, fp bigint, keys int, x double, gone boolean, component bigint, low int, kept int, shard int, c_0 int"
+    rows = [(*r, "en", "s", 0, *("k", *(None,) * 12)) for r in ((1, a), (3, b), (3, a))]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {extra}")
+    assert sorted((r.doc_id, r.text, r.id) for r in pipeline.near_copies(spark, docs, DATA).collect()) == [(1, a, "k"), (3, b, "k")]
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.dtypes == docs.dtypes and {r.id for r in out.collect()} <= {"k"}, name
+
+
 def test_near_copies_by_content(spark):
     """Copies with some words in a hundred changed go; a text that shares less stays."""
     words = [f"word{k * k % 997}" for k in range(240)]
