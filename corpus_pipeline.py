@@ -1,7 +1,9 @@
 """A corpus pipeline: quality, near copies, repeated passages, secrets, packing; each stage written and read again.
 
-Every stage works on all that the one before kept, and all but the last return the columns of documents. A null text counts
-as empty; rows without an id are kept by the near-copy stage, which can't name their group; repeated rows leave one there.
+Every stage works on all that the one before kept, and all but the last return the columns of documents, whatever extra ones there
+are. A null text counts as empty, and texts of any length are taken whole. Rows without an id are documents like others, and come
+after all others in the near-copy stage; rows of one id and different texts are different documents there, and of equal rows it
+leaves one. An empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -12,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import map_arrow, shared_dir, string_column, table, texts, tune
-from lattica.llm.near_copies import near_copy_components
+from lattica.llm.common import kept_rows, map_arrow, shared_dir, staged, string_column, table, texts, tune
+from lattica.llm.near_copies import first_of_copies
 from lattica.llm.packing import pack_documents
-from lattica.llm.quality import document_statistics, learn, statistics
+from lattica.llm.quality import document_statistics, learn, score
 from lattica.llm.secret_scan import redact
 from lattica.llm.suffix_dedup import suffix_dedup
 
@@ -23,22 +25,18 @@ CUT = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents that the classifier scores below CUT; the text itself is never shuffled."""
-    model = learn(document_statistics(docs), table(spark, sf_dir, "labels"))
-    at = docs.columns.index("text")
-
-    def good(b: pa.RecordBatch) -> pa.RecordBatch:
-        score = model.score(statistics([t.encode() for t in texts(b.column(at))]))
-        return b.filter(pa.array(score >= CUT))
-
-    return map_arrow(docs, good, docs.schema)
+    """Rejects the documents that the classifier scores below CUT. Statistics are taken once, and the texts are not shuffled."""
+    text = string_column(docs)
+    keys = {"__text": F.xxhash64(text), "__size": F.octet_length(text)}  # the score is the text's alone
+    stats = staged(document_statistics(docs.select("doc_id", "text", *(c.alias(k) for k, c in keys.items())), carry=tuple(keys)))
+    scored = score(stats, learn(stats, table(spark, sf_dir, "labels")), carry=tuple(keys))
+    decided = staged(scored.select(*keys, (F.col("score") < CUT).alias("gone"), F.lit(False).alias("repeated")).distinct())
+    return kept_rows(docs.select("*", *(c.alias(k) for k, c in keys.items())), decided, list(keys)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each component of texts whose sets of five-word shingles are 0.8 alike."""
-    first = near_copy_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
+    """Keeps the first document, by id, of each component of texts whose sets of five-word shingles are 0.8 alike."""
+    return first_of_copies(docs)
 
 
 def _with_text(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
