@@ -4,14 +4,14 @@ A text is halved until the pieces are short; pieces are encoded and joined up th
 change and encodes anew only a window around the seam, which grows until its outside stands:
 
 * between pattern matches: a match is final if the pattern has seen all it looks at, one character beyond it or the third
-  of its start; scanning on from a final match gives the same matches from the first one that ends where a match of the
+  of its start (a property of the pattern dealt; one that looks further needs another bound in _join_texts); scanning on from a final match gives the same matches from the first one that ends where a match of the
   right half ends;
 * between tokens of one long match: a sequence of tokens is the encoding of its bytes if and only if every two neighbours
   are the encoding of their own bytes, so a window is wide enough once the pairs at both of its edges are.
 
 Decoding concatenates the tokens' bytes up the same kind of tree.
 
-Null and empty texts have no tokens; rows repeat as they come; an empty table gives an empty result; other columns are
+Null and empty texts have no tokens; a very long one goes through the tree like any other; rows repeat as they come; an empty table gives an empty result; other columns are
 ignored.
 """
 

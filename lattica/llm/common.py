@@ -68,7 +68,12 @@ def put(uri: str, data: bytes) -> None:
     part = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(part, compression=None) as out:
         out.write(data)
-    fs.move(part, path)
+    try:
+        fs.move(part, path)
+    except OSError:  # a file system that does not rename over the file of another attempt
+        fs.delete_file(part)
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
 
 
 def get(uri: str) -> bytes:
@@ -159,6 +164,12 @@ def string_column(df: DataFrame, name: str = "text") -> F.Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
+def partitions_for(rows: DataFrame, column: str, each: int) -> int:
+    """Partitions that hold some `each` bytes of a column, as many as the session's shuffle partitions at least."""
+    total = rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
@@ -194,7 +205,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         near = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
         low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        linked = near.join(low, "u")
+        # under another name than what it was grouped by: a plain shuffle on both sides, so that a hub's edges can be split
+        linked = near.join(low.select(F.col("u").bitwiseXOR(F.lit(0)).alias("k"), "m"), F.col("u") == F.col("k")).drop("k")
         if large:
             return linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         own = low.where("m < u").select("u", F.col("m").alias("v"))

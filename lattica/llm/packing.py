@@ -1,10 +1,10 @@
 """Packs documents into sequences: first-fit decreasing over a tournament tree of bin capacities, in random groups.
 
-A document is cut into full sequences and one remainder. Pieces go to random groups, each the size of some 4096 documents'
-pieces and packed independently: one document's pieces too are spread, so that a huge one makes no group large. Sequences are padded to the full length, except those that end at a
-power of two.
+A document is cut into full sequences and one remainder. Pieces go to random groups of 4096 on average at most, packed independently.
+Groups are of pieces, not of whole documents: a full piece fills its sequence wherever it is, so only remainders are packed at all, one a
+document, and a huge document makes no group large. Sequences are padded to the full length, except those that end at a power of two.
 
-A null text is the empty text; it is one piece with the end id alone. Ties of length keep the order (length, doc_id, start).
+A null text is the empty text; it is one piece with the end id alone. Ids are cast to bigint, and one that is no number raises. Ties of length keep the order (length, doc_id, start).
 Repeated rows are packed each; an empty table gives no pieces; extra columns are ignored.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import string_column, trim, tune
 from .tokenize import encoder
 
-#: Documents in a random group, on average.
-GROUP_DOCS = 4096
+#: Pieces in a random group, on average, at most.
+GROUP_PIECES = 4096
 
 
 class Tournament:
@@ -92,12 +92,14 @@ def document_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, w
     return rows.mapInArrow(run, schema)
 
 
-def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """The pieces with sequence_id and offset, and seq_tokens and padded, the sequence's lengths before and after padding.
 
     Groups are dealt by a hash of the whole piece's document and position, so neither a source nor a repeated id is hot.
     """
-    groups = max(1, -(-df.count() // group_docs))
+    # a token is a byte at least, so there are no more pieces than this
+    most = df.agg(F.sum(F.floor(F.octet_length(string_column(df, text_col)) / F.lit(capacity)) + 1)).first()[0] or 0
+    groups = max(1, -(-most // group_pieces))
     pieces = document_pieces(df, tokenizer, end_id, capacity, with_ids, id_col, text_col)
     names = pieces.columns
     # a repeated id or text must not make a hot group: the row's place in its partition salts the hash

@@ -38,7 +38,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), vocabulary=50257, end_id=0)
+    return token_files(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

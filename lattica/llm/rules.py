@@ -1,7 +1,8 @@
 """Rule bitmask ledger: every quality rule is evaluated once per text, failures go into a bitmask beside the measurements,
 and versioned policies are masks over that ledger. Ablations are bitwise aggregates over the ledger, never a new scan.
 
-A null text is the empty text: all measurements 0. Rows repeat as they come; an empty table gives an empty ledger.
+A null text is the empty text: all measurements 0. Very long texts are measured whole, one at a time. A measure that is just at a rule's bound
+passes. Rows repeat as they come; an empty table gives an empty ledger; extra columns are ignored under any name.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ File: header (magic, width, block size, numbers of ids and documents), the docum
 block offsets, then the blocks. A block holds block_size ids of `width` bits, least significant bit first, padded to whole
 bytes; the last may be shorter. Shards cover ascending ranges of doc_id; the manifest names each shard's first id.
 
-A null text is the empty text (its end id alone); null ids come first; rows of one id keep together, ordered by a hash of the text; an
-empty table gives no shards; extra columns are ignored.
+A null text is the empty text (its end id alone); a very long one is a shard of its own; null ids come first; ids are cast to bigint, and
+one that is no number raises; rows of one id keep together, ordered by a hash of the text; an empty table gives no shards; extra
+columns are ignored. An id that the width can't hold raises.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import filesystem, put, shared_dir, string_column, trim, tune
-from .tokenize import encoder
+from .common import filesystem, partitions_for, put, shared_dir, staged, string_column, trim, tune
+from .tokenize import encoder, vocabulary_size
 
 MAGIC, HEAD, BLOCK = b"LTKF", struct.Struct("<4sIIIQQ"), 4096
 
@@ -30,6 +32,8 @@ def width_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
+    if len(ids) and int(ids.max()) >> width:
+        raise ValueError(f"id {int(ids.max())} does not fit into {width} bits")
     if width == 16:
         return ids.astype("<u2").tobytes()
     bits = (ids.astype("u4")[:, None] >> np.arange(width, dtype="u4")) & 1
@@ -83,17 +87,20 @@ class TokenFile:
 
 #: Ids in a shard file at most, but for a longer document: bounds a task's memory.
 SHARD_IDS = 4 << 20
+#: Bytes of text in a range partition, about.
+PART_BYTES = 64 << 20
 
 
-def write_token_files(df: DataFrame, tokenizer: str, vocabulary: int, end_id: int, out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(df: DataFrame, tokenizer: str, end_id: int, out: str, vocabulary: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards and returns their manifest (part, piece, path, n_docs, n_ids, start), one row a shard.
 
-    Texts are range-partitioned by id and sorted, then encoded and written where they lie. Only the manifest, whose rows
-    number as the shards, meets the driver's plan.
+    Texts are range-partitioned by id and sorted, then encoded and written where they lie; partitions number as the bytes of
+    text. The manifest is a table; the driver sees one number a partition. The width is that of the tokenizer's vocabulary, or of a
+    larger one given.
     """
     spark = df.sparkSession
     tune(spark)
-    width = width_for(vocabulary)
+    width = width_for(max(vocabulary_size(tokenizer), end_id + 1, vocabulary or 0))
     told = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,16 +132,19 @@ def write_token_files(df: DataFrame, tokenizer: str, vocabulary: int, end_id: in
         trim()
 
     rows = df.select(df[id_col].cast("bigint").alias("id"), string_column(df, text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(rows, "text", PART_BYTES)
     by = [F.col("id").asc_nulls_first(), F.col("h"), F.col("m")]
     placed = rows.withColumn("h", F.xxhash64("text")).withColumn("m", F.monotonically_increasing_id())  # so that a repeated id can be split
     shards = placed.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(run, "part int, piece int, path string, n_docs bigint, n_ids bigint")
-    done = sorted(shards.collect(), key=lambda r: (r.part, r.piece))  # one row a shard of 4 M ids
-    start, manifest = 0, []
-    for r in done:
-        manifest.append((r.part, r.piece, r.path, r.n_docs, r.n_ids, start))
-        start += r.n_ids
-    return spark.createDataFrame(manifest, "part int, piece int, path string, n_docs bigint, n_ids bigint, start bigint")
+    written = staged(shards)
+    sums = written.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # one row a partition
+    before, at = [], 0
+    for part, ids in sorted(sums):
+        before.append((part, at))
+        at += ids
+    offsets = spark.createDataFrame(before, "part int, base bigint")
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return written.withColumn("inside", inside).join(F.broadcast(offsets), "part").select("part", "piece", "path", "n_docs", "n_ids", (F.col("base") + F.col("inside")).alias("start"))
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -153,11 +163,11 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     columns = [pa.array(f.doc_ids[lo:hi], pa.int64(), mask=~f.valid[lo:hi]), pa.array(f.starts[lo:hi] + base), pa.array([len(x) for x in docs], pa.int64()), pa.array([zlib.crc32(np.ascontiguousarray(x, "<u4")) for x in docs], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns + ([pa.array(docs, pa.list_(pa.int32()))] if with_ids else []), schema=pa.schema(fields))
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), manifest.count())
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
     return manifest.select("path", "start").repartition(n).mapInArrow(run, schema)
 
 
-def token_files(df: DataFrame, tokenizer: str, vocabulary: int = 50257, end_id: int = 0) -> DataFrame:
+def token_files(df: DataFrame, tokenizer: str, end_id: int = 0, vocabulary: int | None = None) -> DataFrame:
     out = shared_dir(df.sparkSession)
-    return read_token_files(write_token_files(df, tokenizer, vocabulary, end_id, out))
+    return read_token_files(write_token_files(df, tokenizer, end_id, out, vocabulary))

@@ -107,3 +107,11 @@ def encoder(path: str) -> Encoder:
 
 
 held(encoder.cache_clear)
+
+
+@functools.lru_cache(maxsize=8)
+def vocabulary_size(path: str) -> int:
+    """One more than the tokenizer's largest id."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0) + 1

@@ -5,7 +5,8 @@ Beside it lies its index: lines of key and place, in order, in compressed blocks
 first key. A look-up binary-searches the directory, unpacks one block, binary-searches it, and range-reads the records.
 
 Of the records whose payloads are equal and at least `least` bytes long, that with the largest page_id is the response and
-the others are revisits of it. A null payload is empty; a null url is the empty one; null ids are smaller than any other
+the others are revisits of it. A null payload is empty; a very long one is one record, in memory whole; ids are cast to bigint, and one
+that is no number raises; a null url is the empty one; null ids are smaller than any other
 and their records hold no id; rows of one id and payload each get a record (of tied responses all are); an empty table gives
 no archives; extra columns are ignored.
 """
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, put, shared_dir, tune
+from .common import filesystem, partitions_for, put, shared_dir, staged, tune
 
 BLOCK_LINES, DATE = 512, "2024-01-01T00:00:00Z"
 #: Bytes of an archive before a new one is begun: bounds a task's memory.
 ARCHIVE_BYTES = 32 << 20
+#: Bytes of payload in a range partition, about.
+PART_BYTES = 64 << 20
 
 
 #: Host, and path with query, of a URL with a scheme. Patterns that Python and Spark read alike.
@@ -147,7 +150,7 @@ def revisit_marks(pages: DataFrame, least: int = 1000) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, out: str, least: int = 1000) -> DataFrame:
-    """Writes archives and indexes; their manifest (path, first_key, last_key, n_records) in order of keys.
+    """Writes archives and indexes; their manifest (path, first_key, last_key, n_records), a table; paths are in the order of keys.
 
     Pages and the marks of revisits are range-partitioned together by key and id, each mark before its page: payloads
     are shuffled once.
@@ -192,10 +195,10 @@ def write_warc(pages: DataFrame, out: str, least: int = 1000) -> DataFrame:
         if lines:
             yield flush()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(whole, "payload", PART_BYTES)
     by = [F.col("key"), F.col("page_id").asc_nulls_first()]
     made = whole.unionAll(marks).repartitionByRange(n, *by).sortWithinPartitions(*by, "is_page").mapInArrow(run, "path string, first_key string, last_key string, n_records bigint")
-    return spark.createDataFrame(sorted(made.collect(), key=lambda r: r.path), made.schema)  # one row an archive of 32 MB
+    return staged(made)
 
 
 def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -211,14 +214,15 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([{f: r[f] for f, _ in fields} for r in rows], schema=pa.schema(fields))
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", url string, payload binary" if with_payload else "")
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
     return manifest.select("path").repartition(n).mapInArrow(run, schema)
 
 
-def find_captures(manifest: list, url: str) -> list[dict]:
+def find_captures(manifest: DataFrame, url: str) -> list[dict]:
     """The records of a url: archives whose key range holds it, then each one's index."""
-    key = url_key(url)
-    return [r for m in manifest if m.first_key <= key <= m.last_key for r in Archive(m.path).look_up(url)]
+    key = F.lit(url_key(url))
+    at = manifest.where((F.col("first_key") <= key) & (key <= F.col("last_key"))).select("path").collect()
+    return [r for m in sorted(at) for r in Archive(m.path).look_up(url)]
 
 
 def warc_round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:

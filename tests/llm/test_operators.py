@@ -316,7 +316,7 @@ def test_tournament_is_first_fit():
 
 def test_packing(odd, empty, library):
     rows, df = odd
-    got = packing.pack_documents(df, VOCABULARY, end_id=1, capacity=64, with_ids=True, group_docs=20).collect()
+    got = packing.pack_documents(df, VOCABULARY, end_id=1, capacity=64, with_ids=True, group_pieces=20).collect()
     ids = Counter((d, tuple([*library(x), 1])) for d, x in rows)
     parts: dict = {}
     for r in got:
@@ -366,6 +366,15 @@ def test_token_files(odd, empty, library):
         left[r.doc_id, r.n_tokens, r.ids_crc32] -= 1
         at += r.n_tokens
     assert token_files.token_files(empty, VOCABULARY).count() == 0
+    assert tokenize.vocabulary_size(VOCABULARY) <= 1 << 16
+    wide = token_files.token_files(df, VOCABULARY, vocabulary=100_000).orderBy("start").collect()  # 17 bits, by the bit path
+    assert wide == got
+
+
+def test_token_files_refuse_what_does_not_fit():
+    for ids, width in (([70_000, 5], 16), ([1024, 5], 10)):
+        with pytest.raises(ValueError, match="does not fit"):
+            token_files.pack(np.array(ids, "u4"), width)
 
 
 # 4
@@ -392,12 +401,12 @@ def test_warc(pages, spark):
         revisit = len(raw) >= 1000 and i != lead[h]
         want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", lead[h] if revisit else None, u or ""))
     assert got == sorted(want, key=repr)
-    at = manifest.collect()
+    at = manifest.orderBy("path").collect()
     keys = [(m.first_key, m.last_key) for m in at]
     assert keys == sorted(keys) and all(a[1] <= b[0] for a, b in zip(keys, keys[1:], strict=False))
     for u in ("http://a.org/x", "http://h3.org/703", "no scheme", "http://nowhere.org/"):
-        assert sorted(r["page_id"] for r in warc.find_captures(at, u)) == sorted(i for i, v, _ in rows if v == u)
-    assert {r["payload"] for r in warc.find_captures(at, "http://h3.org/703")} == {b"703" * 700}
+        assert sorted(r["page_id"] for r in warc.find_captures(manifest, u)) == sorted(i for i, v, _ in rows if v == u)
+    assert {r["payload"] for r in warc.find_captures(manifest, "http://h3.org/703")} == {b"703" * 700}
     assert warc.warc_round_trip(df.limit(0)).count() == 0
 
 
