@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,42 +14,47 @@ def node_list(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
 
+def _place(h: Column, n: int) -> Column:
+    """A place below n by the first 48 bits of an md5."""
+    return F.pmod(F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint"), F.lit(max(n, 1)))
+
+
 def negatives_by_pair(edges: DataFrame, nodes: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
-    """About ratio * edges distinct pairs (u < v) of nodes that are no edge, in the order of md5(seed:u:v).
+    """The first ratio * edges distinct pairs (u < v) of nodes, in the order they are drawn, that are no edge; all of them if there are fewer.
 
-    Both ends are drawn from the node index, twice as many pairs as are wanted, and again by twice as many until enough are
-    no edges or all pairs have been drawn; no product of the nodes is made.
+    Draw t takes the nodes at md5(seed:t:0) and md5(seed:t:1) of the sorted node list. Draws are made twice as many as are wanted, and
+    again twice as many until they are enough; how many at once does not change the result, and no product of the nodes is made.
     """
     spark = edges.sparkSession
-    index = with_row_index(nodes.select("node"), F.asc("node"), name="k").cache()
-    n, want = index.count(), int(ratio * edges.count())
-    known = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    index = with_row_index(nodes.select("node"), F.asc("node"), name="k")
+    n = index.count()
+    known = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    inside = known.join(index.select(F.col("node").alias("u")), "u", "left_semi").join(index.select(F.col("node").alias("v")), "v", "left_semi").count()
+    want = min(int(ratio * edges.count()), n * (n - 1) // 2 - inside)
     tries = 2 * want
     while True:
-        if 2 * tries >= n * n:  # nearly all pairs are wanted: the result's own size
-            drawn = index.select(F.lit(1).alias("one"), F.col("node").alias("a")).join(index.select(F.lit(1).alias("one"), F.col("node").alias("b")), "one")
-        else:
-            at = spark.range(tries).select(F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(0)), F.lit(max(n, 1))).alias("ka"), F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(1)), F.lit(max(n, 1))).alias("kb"))
-            drawn = at.join(index.select(F.col("k").alias("ka"), F.col("node").alias("a")), "ka").join(index.select(F.col("k").alias("kb"), F.col("node").alias("b")), "kb")
-        pairs = drawn.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(known, ["u", "v"], "left_anti")
-        if 2 * tries >= n * n or pairs.count() >= want:
-            return pairs.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("u").cast("string"), F.col("v").cast("string"))), "u", "v").limit(want)
+        at = spark.range(tries).select(F.col("id").alias("t"), *(_place(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.lit(str(end)))), n).alias(f"k{end}") for end in (0, 1)))
+        drawn = at.where("k0 <> k1").join(index.select(F.col("k").alias("k0"), F.col("node").alias("a")), "k0").join(index.select(F.col("k").alias("k1"), F.col("node").alias("b")), "k1")
+        pairs = drawn.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("t").alias("t")).join(known, ["u", "v"], "left_anti")
+        ranked = with_row_index(pairs, F.asc("t"), name="place")
+        if ranked.count() >= want:
+            return ranked.where(F.col("place") < want).select("u", "v")
         tries *= 2
 
 
 def negatives_by_node(edges: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
     """(u, v): for each u with int(ratio * degree) = n, up to n of n + degree drawn nodes that are no neighbours of u.
 
-    Draws are md5-keyed places in the sorted node list, with replacement, then distinct; u itself is no candidate here.
+    Draws are md5-keyed places in the sorted node list, with replacement, then distinct; u itself is no candidate here. A node's draws
+    number as its edges; they are made one row each, and ranked among its own.
     """
-    nodes = with_row_index(node_list(edges), F.asc("node"), name="k").cache()
+    nodes = with_row_index(node_list(edges), F.asc("node"), name="k")
     total = nodes.count()
     pairs = edges.select("u", "v").distinct()
     degrees = edges.groupBy("u").agg(F.count(F.lit(1)).alias("d")).withColumn("n", F.floor(F.lit(ratio) * F.col("d")).cast("int")).where("n > 0")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("u").cast("string"), F.col("t").cast("string")))
     drawn = degrees.select("u", "n", F.explode(F.sequence(F.lit(1), (F.col("n") + F.col("d")).cast("int"))).alias("t")).withColumn("h", key)
-    place = F.pmod(F.conv(F.substring("h", 1, 12), 16, 10).cast("bigint"), F.lit(max(total, 1)))
-    named = drawn.withColumn("k", place).join(nodes, "k").select("u", "n", F.col("node").alias("v"), "h").where("u <> v")
+    named = drawn.withColumn("k", _place(F.col("h"), total)).join(nodes, "k").select("u", "n", F.col("node").alias("v"), "h").where("u <> v")
     first = named.groupBy("u", "v").agg(F.min("h").alias("h"), F.first("n").alias("n")).join(pairs, ["u", "v"], "left_anti")
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("h", "v")))
     return ranked.where("rank <= n").select("u", "v")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.algebra import PLUS_TIMES, BinaryOp, Semiring
 
 KEY = ["i", "j"]
+#: Sides of the grid of blocks in which all nonzeros of a vector meet all.
+BLOCKS = 16
 
 
 def from_coo(entries: DataFrame) -> DataFrame:
@@ -75,12 +77,45 @@ def gemv(alpha: float, a: DataFrame, x: DataFrame, beta: float, y: DataFrame) ->
 
 
 def rank_one(alpha: float, v: DataFrame, a: DataFrame) -> DataFrame:
-    """a + alpha v v': each nonzero meets each, which is the result's own size."""
-    x = v.where("val <> 0")
-    outer = x.select(F.lit(1).alias("k"), F.col("idx").alias("i"), F.col("val").alias("p")).join(x.select(F.lit(1).alias("k"), F.col("idx").alias("j"), F.col("val").alias("q")), "k")
+    """a + alpha v v': each nonzero meets each, which is the result's own size; in blocks, by hash, of which each is one key of a join."""
+    x, block = v.where("val <> 0"), F.pmod(F.xxhash64("idx"), F.lit(BLOCKS)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    rows = x.select(F.col("idx").alias("i"), F.col("val").alias("p"), block.alias("bi"), each.alias("bj"))
+    outer = rows.join(x.select(F.col("idx").alias("j"), F.col("val").alias("q"), block.alias("bj"), each.alias("bi")), ["bi", "bj"])
     return from_coo(outer.select("i", "j", (F.lit(float(alpha)) * F.col("p") * F.col("q")).alias("v")).unionByName(a))
 
 
+def partition_by(a: DataFrame, parts: int, key: str = "i") -> DataFrame:
+    """Rows of index k in partition k mod parts; two matrices, or vectors by idx, dealt alike meet without another shuffle on that key."""
+    return a.withColumn("part", F.pmod(key, F.lit(parts)).cast("int")).repartitionById(parts, "part").drop("part")
+
+
+def block_destinations(a: DataFrame, b: DataFrame, rows_per_part: int, cols_per_part: int, row_partitions: int, splits: int) -> tuple[DataFrame, DataFrame]:
+    """(bi, bj, part) twice: where a product on a grid, its middle dimension split, sends the blocks(bi, bj) of a and of b.
+
+    A block of a goes to the parts of all blocks of the result that it adds to, those with a block of b in its column's row; each
+    part is one of `splits` by the middle index. Blocks without a counterpart go nowhere.
+    """
+    x, y = a.select("bi", F.col("bj").alias("m")).distinct(), b.select(F.col("bi").alias("m"), "bj").distinct()
+    part = F.floor(F.col("bi") / F.lit(rows_per_part)) + F.floor(F.col("bj") / F.lit(cols_per_part)) * F.lit(row_partitions)
+    met = x.join(y, "m").withColumn("part", (part * F.lit(splits) + F.pmod("m", F.lit(splits))).cast("bigint"))
+    return met.select("bi", F.col("m").alias("bj"), "part").distinct(), met.select(F.col("m").alias("bi"), "bj", "part").distinct()
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(triangles) of edges(i, j), each pair once and no loops. Edges point to the end of larger degree, so that even a hub has few out-edges,
+    and two-edge paths are made from those alone before the third edge is looked up."""
+    degree = edges.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    x = degree.select(F.col("node").alias("i"), F.col("d").alias("di"))
+    y = degree.select(F.col("node").alias("j"), F.col("d").alias("dj"))
+    low, high = F.struct("di", "i"), F.struct("dj", "j")
+    ends = edges.join(x, "i").join(y, "j").select(F.least(low, F.struct(F.col("dj").alias("di"), F.col("j").alias("i"))).alias("s"), F.greatest(F.struct(F.col("di").alias("dj"), F.col("i").alias("j")), high).alias("t"))
+    out = ends.select(F.col("s.i").alias("s"), F.col("t.j").alias("t"), F.col("t.dj").alias("d"))
+    one, two = out.select("s", F.col("t").alias("a"), F.col("d").alias("da")), out.select("s", F.col("t").alias("b"), F.col("d").alias("db"))
+    paths = one.join(two, "s").where(F.struct("da", "a") < F.struct("db", "b")).select("a", "b")
+    return paths.join(out.select(F.col("s").alias("a"), F.col("t").alias("b")), ["a", "b"]).agg(F.count(F.lit(1)).alias("triangles"))
+
+
 def stored_rows(a: DataFrame) -> int:
     return a.select("i").distinct().count()
 

@@ -85,7 +85,7 @@ def ldg_partition(graph: Graph, parts: int, n_edges: int | None = None) -> DataF
     """(node, degree, part, pos): nodes stream in ascending id, each to the first part of highest score.
 
     Capacity C is int(edges / parts + 1) * 2; a part with c - 1 of the node's neighbours and weight w = 1 - (load +
-    degree) / C scores c * w, or 0 if w is not positive and c > 1, or w if c is 1. The order of the stream decides the result, so
+    degree) / C scores c * w, or 0 if w is not positive and c > 1, or w if c is 1; a repeated neighbour counts as often. The order of the stream decides the result, so
     the state is one process's: neighbour lists pass through the driver one at a time, and it keeps node and part only.
     """
     spark = graph.edges.sparkSession
@@ -94,7 +94,7 @@ def ldg_partition(graph: Graph, parts: int, n_edges: int | None = None) -> DataF
     loads, rows = [0] * parts, []
     for r in graph.neighbors().orderBy("node").toLocalIterator(prefetchPartitions=True):
         shared = [0] * parts
-        for v in set(r.nbrs):
+        for v in r.nbrs:
             if v in part_of:
                 shared[part_of[v]] += 1
         d, best, score = len(r.nbrs), 0, float("-inf")
@@ -131,8 +131,13 @@ def lower_bound(a: list[int], x: int) -> int:
 
 
 def locate(ids: DataFrame, starts: DataFrame) -> DataFrame:
-    """(id, part): the last part whose start is at most the id. starts has a row a part: a small, fixed table."""
-    return ids.join(F.broadcast(starts.select("part", "start")), F.col("start") <= F.col("id")).groupBy("id").agg(F.max("part").alias("part"))
+    """(id, part): the last part whose start is at most the id, found in a literal array; starts has a row a part. No join, no shuffle."""
+    at = [(r.start, r.part) for r in starts.select("start", "part").orderBy("start", "part").collect()]
+    if not at:
+        return ids.select("id", F.lit(None).cast("int").alias("part")).limit(0)
+    begin, part = F.array(*(F.lit(s) for s, _ in at)), F.array(*(F.lit(p) for _, p in at))
+    place = F.size(F.filter(begin, lambda s: s <= F.col("id")))
+    return ids.select("id", F.when(place > 0, F.element_at(part, place)).alias("part")).where("part IS NOT NULL")
 
 
 def edge_cut(graph: Graph, assigned: DataFrame) -> DataFrame:

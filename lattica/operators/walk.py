@@ -21,11 +21,12 @@ def _rounds(walks: int) -> Column:
 
 
 def step_table(arcs: DataFrame, walks: int, step: int, seed: int) -> DataFrame:
-    """(walk, node, next): for each node with an in-neighbour, that of the greatest draw (ties: the greatest id).
+    """(walk, node, next): for each node with an in-neighbour, that of the greatest draw (ties: the greatest id)."""
+    return _hops(arcs.select("src", "dst").distinct(), walks, step, seed)
 
-    Draws are made once a node and walk, then joined; a hub's arcs are reduced before they are shuffled.
-    """
-    pairs = arcs.select("src", "dst").distinct()
+
+def _hops(pairs: DataFrame, walks: int, step: int, seed: int) -> DataFrame:
+    """Draws are made once a node and walk, then joined; a hub's arcs are reduced before they are shuffled."""
     drawn = pairs.select("src").distinct().select("src", _rounds(walks).alias("walk"))
     drawn = drawn.withColumn("r", draw(seed, F.col("walk"), step, F.col("src")))
     return pairs.join(drawn, "src").groupBy("walk", "dst").agg(F.max(F.struct("r", "src")).alias("m")).select("walk", F.col("dst").alias("node"), F.col("m.src").alias("next"))
@@ -33,10 +34,11 @@ def step_table(arcs: DataFrame, walks: int, step: int, seed: int) -> DataFrame:
 
 def random_walks(arcs: DataFrame, walks: int, length: int, seed: int = 42, keep_stuck: bool = False, cut_every: int = 5) -> DataFrame:
     """(walk, src, path): a path of length + 1 nodes from every node, for each of the walks, all in one frame."""
-    nodes = arcs.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
+    pairs = cut(arcs.select("src", "dst").distinct())
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
     paths = nodes.select(_rounds(walks).alias("walk"), "src", F.col("src").alias("cur"), F.array("src").alias("path"))
     for k in range(1, length + 1):
-        hop = step_table(arcs, walks, k, seed).select("walk", F.col("node").alias("cur"), "next")
+        hop = _hops(pairs, walks, k, seed).select("walk", F.col("node").alias("cur"), "next")
         paths = paths.join(hop, ["walk", "cur"], "left" if keep_stuck else "inner")
         to = F.coalesce("next", "cur")
         paths = paths.select("walk", "src", to.alias("cur"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array(to))).alias("path"))
@@ -46,12 +48,13 @@ def random_walks(arcs: DataFrame, walks: int, length: int, seed: int = 42, keep_
 
 
 def weighted_walks(arcs: DataFrame, walks: int, length: int, seed: int = 42, cut_every: int = 5) -> DataFrame:
-    """Beyond the coalescing walks: each walker chooses an out-arc for itself, by weight (an exponential race)."""
+    """Beyond the coalescing walks: each walker chooses an out-arc for itself, by weight (an exponential race of md5 draws)."""
     nodes = arcs.select("src").distinct()
     paths = nodes.select(_rounds(walks).alias("walk"), "src", F.col("src").alias("cur"), F.array("src").alias("path"))
     out = arcs.where("weight > 0").select(F.col("src").alias("cur"), "dst", "weight")
     for k in range(1, length + 1):
-        unit = (F.pmod(F.xxhash64(F.lit(seed), "walk", "src", F.lit(k), "dst"), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
+        h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("walk").cast("string"), F.col("src").cast("string"), F.lit(str(k)), F.col("dst").cast("string")))
+        unit = (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
         raced = paths.join(out, "cur").withColumn("t", -F.log(unit) / F.col("weight"))
         best = raced.groupBy("walk", "src").agg(F.min_by(F.struct("dst", "path"), F.struct("t", "dst")).alias("b"))
         paths = best.select("walk", "src", F.col("b.dst").alias("cur"), F.concat("b.path", F.array("b.dst")).alias("path"))

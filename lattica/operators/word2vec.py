@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,6 +102,11 @@ def sentence_chunks(tokens: DataFrame, vocab: DataFrame, size: int, id_col: str)
     return known.select(id_col, F.floor(at / F.lit(size)).cast("bigint").alias("chunk")).groupBy(id_col, "chunk").agg(F.count(F.lit(1)).alias("n_words"))
 
 
+def rate(c: Config, seen: int, total: int) -> float:
+    """The learning rate once a partition has seen so many of the total words: linear to zero, but for the last ten-thousandth."""
+    return max(c.learning_rate * (1 - c.partitions * seen / (total + 1)), c.learning_rate * 1e-4)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -139,10 +146,10 @@ def _train(sentences: Iterator[list[int]], w: _Weights, c: Config, counts: np.nd
     edges = np.cumsum(counts.astype(float) ** 0.75)
     draw = lambda n: np.searchsorted(edges, rng.random(n) * edges[-1], "right")
     ratio = counts / (c.sample * total) if c.sample else None
-    seen, lr = 0, c.learning_rate
+    seen = 0
     for s in sentences:
         seen += len(s)
-        lr = max(c.learning_rate * (1 - c.partitions * seen / (total + 1)), c.learning_rate * 1e-4)
+        lr = rate(c, seen, total)
         if ratio is not None:
             keep = np.sqrt(ratio[s] + 1) / ratio[s] >= rng.random(len(s))
             s = [x for x, k in zip(s, keep, strict=True) if k]
@@ -208,10 +215,10 @@ def synonyms(vectors: DataFrame, vec: list[float], k: int) -> DataFrame:
 def document_vectors(docs: DataFrame, vectors: DataFrame, size: int, id_col: str, tokens_col: str) -> DataFrame:
     """(id, vector): the mean over all tokens, unknown ones counting as zero; zeros for no tokens."""
     words = docs.select(id_col, F.explode(tokens_col).alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
-    parts = words.join(vectors, "word").select(id_col, "n", F.posexplode(doubles(F.col("vector"))).alias("k", "x"))
-    sums = parts.groupBy(id_col, "k").agg(F.sum(F.col("n") * F.col("x")).alias("s")).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("k", "s"))).alias("m"))
-    zero = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest(F.size(tokens_col), F.lit(1)))
-    return docs.join(sums, id_col, "left").select(id_col, zero.alias("vector"))
+    found = words.join(vectors, "word").select(id_col, F.col("n").cast("double").alias("n"), array_to_vector(doubles(F.col("vector"))).alias("x"))
+    sums = found.groupBy(id_col).agg(vector_to_array(Summarizer.sum(F.col("x"), F.col("n"))).alias("s"))
+    whole = F.coalesce("s", F.array_repeat(F.lit(0.0), size))
+    return docs.join(sums, id_col, "left").select(id_col, F.transform(whole, lambda x: x / F.greatest(F.size(tokens_col), F.lit(1))).alias("vector"))
 
 
 def fit(tokens: DataFrame, c: Config) -> Model:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,10 +14,19 @@ def cut(df: DataFrame) -> DataFrame:
     """checkpoint() to the folder that all executors share; a local folder only where none is set, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lattica-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names; a temporary folder stands in on a local master only, where all tasks see it."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None)
+    if not found and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or os.path.join(tempfile.gettempdir(), "lattica-checkpoints")
+
+
 def with_row_index(df: DataFrame, *order: Column, name: str = "row_index") -> DataFrame:
     """A gapless index from 0 in the given order, without a single-task sort: range partitions, then each one's offset."""
     placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))

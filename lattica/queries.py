@@ -25,7 +25,7 @@ NN_SQL = "nn AS (SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(s_nationkey AS BI
 UV_SQL = "u AS (SELECT l_partkey AS idx, sum(l_quantity) AS val FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), w AS (SELECT l_partkey AS idx, CAST(count(*) AS DOUBLE) AS val FROM lineitem WHERE l_discount = 0.0 GROUP BY 1)"
 AB_SQL = "a AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), b AS (SELECT l_suppkey AS i, l_partkey AS j, CAST(count(*) AS DOUBLE) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2)"
 PP_SQL = "lines AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), pp AS (SELECT DISTINCT x.p AS src, y.p AS dst FROM lines x JOIN lines y ON x.o = y.o AND x.p < y.p)"
-WORDS_SQL = r"words AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS word, generate_subscripts(string_split_regex(text, '\s+'), 1) AS pos FROM documents), vocab AS (SELECT word, count(*) AS cn, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS idx FROM words WHERE word <> '' GROUP BY word HAVING count(*) >= 5)"
+WORDS_SQL = r"words AS MATERIALIZED (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS word, generate_subscripts(string_split_regex(text, '\s+'), 1) AS pos FROM documents), vocab AS MATERIALIZED (SELECT word, count(*) AS cn, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS idx FROM words WHERE word <> '' GROUP BY word HAVING count(*) >= 5)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -259,8 +259,13 @@ def common_neighbors(spark, d):
 
 @query(f"WITH {PP_SQL} SELECT count(*) AS triangles FROM pp a JOIN pp b ON a.dst = b.src JOIN pp c ON c.src = a.src AND c.dst = b.dst")
 def triangle_count(spark, d):
+    return matrix.triangles(pp(spark, d).edges.select(F.col("src").alias("i"), F.col("dst").alias("j")))
+
+
+@query(f"WITH {PP_SQL} SELECT a.src AS i, b.dst AS j, CAST(count(*) AS DOUBLE) AS v FROM pp a JOIN pp b ON a.dst = b.src JOIN pp c ON c.src = a.src AND c.dst = b.dst GROUP BY 1, 2")
+def masked_spgemm(spark, d):
     e = pp(spark, d).edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("v"))
-    return matrix.hadamard(matrix.multiply(e, e), e).agg(F.coalesce(F.sum("v"), F.lit(0.0)).cast("bigint").alias("triangles"))
+    return matrix.hadamard(matrix.multiply(e, e), e)
 
 
 # partitioning
@@ -271,12 +276,36 @@ def hash_partition(spark, d):
     return partition.hash_partition(sp(spark, d).nodes(), PARTS)
 
 
-@query()
+#: Jobs one by one, each to the first bin of least load; for small tables.
+_LPT = f"""
+    WITH RECURSIVE {SP_SQL}, o AS MATERIALIZED (SELECT src AS node, count(*) AS degree, row_number() OVER (ORDER BY count(*) DESC, src) - 1 AS pos FROM arcs GROUP BY 1),
+    r AS (SELECT CAST(-1 AS BIGINT) AS pos, [CAST(0 AS BIGINT) FOR k IN range({PARTS})] AS loads, CAST(0 AS BIGINT) AS part
+          UNION ALL SELECT o.pos, [loads[k] + CASE WHEN k = p THEN degree ELSE 0 END FOR k IN range(1, {PARTS + 1})], p - 1
+          FROM (SELECT pos, loads, list_position(loads, list_min(loads)) AS p FROM r) q JOIN o ON o.pos = q.pos + 1)
+    SELECT node, degree, CAST(part AS INTEGER) AS part, pos FROM o JOIN r USING (pos)"""
+
+
+@query(_LPT)
 def lpt_partition(spark, d):
     return partition.lpt_partition(sp(spark, d).degrees(), PARTS)
 
 
-@query()
+#: Nodes one by one in ascending order, each to the first part of highest score; the list of all parts so far goes along: for small tables.
+_LDG = f"""
+    WITH RECURSIVE {SP_SQL}, ids AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS k FROM (SELECT DISTINCT src AS node FROM arcs)),
+    n AS MATERIALIZED (SELECT x.k, x.node, list(y.k) AS near, count(*) AS degree FROM arcs JOIN ids x ON src = x.node JOIN ids y ON dst = y.node GROUP BY 1, 2),
+    c AS MATERIALIZED (SELECT CAST(floor(count(*)::DOUBLE / {PARTS} + 1) AS BIGINT) * 2 AS capacity FROM sp),
+    r AS (SELECT CAST(0 AS BIGINT) AS k, [CAST(0 AS BIGINT) FOR p IN range({PARTS})] AS loads, CAST([] AS BIGINT[]) AS parts
+          UNION ALL SELECT k, [loads[p] + CASE WHEN p = best THEN degree ELSE 0 END FOR p IN range(1, {PARTS + 1})], list_append(parts, best)
+          FROM (SELECT k, loads, parts, degree, list_position(scores, list_max(scores)) AS best
+                FROM (SELECT k, loads, parts, degree, [CASE WHEN w[p] > 0 THEN (1 + shared[p]) * w[p] WHEN shared[p] > 0 THEN 0.0::DOUBLE ELSE w[p] END FOR p IN range(1, {PARTS + 1})] AS scores
+                      FROM (SELECT n.k, loads, parts, degree, [1 - (loads[p] + degree)::DOUBLE / capacity FOR p IN range(1, {PARTS + 1})] AS w,
+                                   [len(list_filter(met, lambda x: x = p)) FOR p IN range(1, {PARTS + 1})] AS shared
+                            FROM (SELECT n.k, loads, parts, degree, capacity, [parts[x] FOR x IN near IF x < n.k] AS met FROM r JOIN n ON n.k = r.k + 1, c) n))))
+    SELECT node, degree, CAST(last.parts[n.k] - 1 AS INTEGER) AS part, node AS pos FROM n, (SELECT parts FROM r ORDER BY k DESC LIMIT 1) last"""
+
+
+@query(_LDG)
 def ldg_partition(spark, d):
     return partition.ldg_partition(sp(spark, d), PARTS)
 
@@ -326,7 +355,13 @@ def walk_text(spark, d):
     return walk_lines(walk.random_walks(sp(spark, d).arcs(), WALKS, 2, SEED))
 
 
-@query()
+def _weighted_sql(steps: int) -> str:
+    unit = f"(CAST('0x' || substr(md5('{SEED}:' || w.walk || ':' || w.src || ':%d:' || j), 1, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE"
+    out = [f"w{k} AS (SELECT walk, src, arg_min(j, t) AS cur, any_value(path) || ' ' || arg_min(j, t) AS path FROM (SELECT w.walk, w.src, j, path, -ln({unit % k}) / v AS t FROM w{k - 1} w JOIN nn ON cur = i) GROUP BY 1, 2)" for k in range(1, steps + 1)]
+    return f"WITH {NN_SQL}, w0 AS (SELECT walk, i AS src, i AS cur, CAST(i AS VARCHAR) AS path FROM (SELECT DISTINCT i FROM nn), (SELECT unnest(range({WALKS})) AS walk)), {', '.join(out)} SELECT walk, src, path FROM w{steps}"
+
+
+@query(_weighted_sql(STEPS))
 def walk_weighted(spark, d):
     arcs = nn(spark, d).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("v").alias("weight"))
     return walk.weighted_walks(arcs, WALKS, STEPS, SEED).select("walk", "src", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("path"))
@@ -406,13 +441,28 @@ def _sp_pairs(spark, d):
     return sp(spark, d).edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
 
 
-@query()
+_PLACE = "CAST('0x' || substr({}, 1, 12) AS BIGINT) % (SELECT count(*) FROM idx)"
+_INDEX = "idx AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) - 1 AS k FROM (SELECT DISTINCT unnest([u, v]) AS node FROM e))"
+#: Eight draws for each pair that is wanted are enough here.
+_BY_PAIR = f"""
+    WITH {SP_SQL}, e AS MATERIALIZED (SELECT src AS u, dst AS v FROM sp), {_INDEX},
+    t AS (SELECT t, {_PLACE.format(f"md5('{SEED}:' || t || ':0')")} AS ka, {_PLACE.format(f"md5('{SEED}:' || t || ':1')")} AS kb FROM (SELECT unnest(range(8 * (SELECT count(*) FROM e))) AS t)),
+    p AS (SELECT least(x.node, y.node) AS u, greatest(x.node, y.node) AS v, min(t) AS t FROM t JOIN idx x ON ka = x.k JOIN idx y ON kb = y.k WHERE ka <> kb GROUP BY 1, 2)
+    SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY t) AS n FROM p ANTI JOIN e USING (u, v)) WHERE n <= (SELECT count(*) FROM e)"""
+_BY_NODE = f"""{_INDEX},
+    made AS (SELECT u, n, md5('{SEED}:' || u || ':' || t) AS h FROM (SELECT u, count(*) AS n, unnest(range(1, 2 * count(*) + 1)) AS t FROM e GROUP BY u)),
+    drawn AS MATERIALIZED (SELECT u, n, h, {_PLACE.format("h")} AS k FROM made),
+    first AS (SELECT u, node AS v, min(h) AS h, any_value(n) AS n FROM drawn JOIN idx USING (k) WHERE u <> node GROUP BY 1, 2),
+    neg AS MATERIALIZED (SELECT u, v FROM (SELECT u, v, n, row_number() OVER (PARTITION BY u ORDER BY h, v) AS place FROM first ANTI JOIN e USING (u, v)) WHERE place <= n)"""
+
+
+@query(_BY_PAIR)
 def negatives_by_pair(spark, d):
     e = _sp_pairs(spark, d)
     return linkpred.negatives_by_pair(e, linkpred.node_list(e), 1.0, SEED)
 
 
-@query()
+@query(f"WITH {SP_SQL}, e AS MATERIALIZED (SELECT src AS u, dst AS v FROM sp), {_BY_NODE} SELECT u, v FROM neg")
 def negatives_by_node(spark, d):
     return linkpred.negatives_by_node(_sp_pairs(spark, d), 1.0, SEED)
 
@@ -434,9 +484,16 @@ def auc_rank(spark, d):
     return linkpred.auc_by_order(_scored(spark, d)).select(F.round("auc", 9).alias("auc"))
 
 
-@query()
+@query(f"""
+    WITH e AS MATERIALIZED (SELECT vec_id AS u, vec_id + 1 AS v FROM embeddings), {_BY_NODE},
+    s AS (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, x.label
+          FROM (SELECT u, v, 1 AS label FROM e UNION ALL SELECT u, v, 0 FROM neg) x JOIN embeddings a ON u = a.vec_id JOIN embeddings b ON v = b.vec_id),
+    per AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM s WHERE NOT isnan(score) GROUP BY 1),
+    r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM per)
+    SELECT round(CAST(sum(p * low + p * n / 2) AS DOUBLE) / CAST(sum(p) * sum(n) AS DOUBLE), 6) AS auc FROM r""")
 def link_prediction_auc(spark, d):
-    return linkpred.link_prediction(_edges(spark, d), vectors(spark, d).select(F.col("vec_id").alias("node"), "vec"), 1.0, SEED)
+    found = linkpred.link_prediction(_edges(spark, d), vectors(spark, d).select(F.col("vec_id").alias("node"), "vec"), 1.0, SEED)
+    return found.select(F.round("auc", 6).alias("auc"))
 
 
 # dense vectors
@@ -466,3 +523,6 @@ def vec_argmax(spark, d):
 def vec_axpy(spark, d):
     v = vectors(spark, d)
     return v.select("vec_id", F.posexplode(arrays.axpy(2.0, F.col("vec"), arrays.scale(0.5, F.col("vec")))).alias("k", "x")).select("vec_id", F.col("k").cast("bigint").alias("k"), "x")
+
+
+from . import job_queries, local_queries  # noqa: E402, F401  they add their queries to the tables above
