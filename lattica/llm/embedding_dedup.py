@@ -133,7 +133,7 @@ def embedding_components(df: DataFrame, threshold: float = 0.95, miss: float = 1
     reached = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionAll(same_id))
     wide = classes.join(links, "cid", "left").join(reached, F.col("cid") == F.col("node"), "left").select("embedding", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("cc"))
     wide = staged(wide)
-    lows = wide.groupBy("cc").agg(F.min("low").alias("component"))
+    lows = staged(wide.groupBy("cc").agg(F.min("low").alias("component")))  # written, so that adaptive execution may split the join
     wide = wide.join(lows, "cc").select(F.col("embedding").alias("v"), "n_links", "component")
     out = rows.where("ok").join(wide, F.col("embedding") == F.col("v")).select("id", "n_links", F.col("component").alias("component_id"))
     rest = rows.where(~F.col("ok")).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
