@@ -2,7 +2,8 @@
 
 Records go to one gzip member each, in the order of their reversed-host URL keys, so every archive covers a range of keys.
 Beside it lies its index: lines of key and place, in order, in compressed blocks, and a sparse directory with each block's
-first key. A look-up binary-searches the directory, unpacks one block, binary-searches it, and range-reads the records.
+first key. A look-up binary-searches the directory, unpacks one block, binary-searches it, and range-reads the records. The
+round trip asks for every key that the pages have, so what it returns has come through that search.
 
 Of the records whose payloads are equal and at least `least` bytes long, that with the largest page_id is the response and
 the others are revisits of it. A null payload is empty; a very long one is one record, in memory whole; ids are cast to bigint, and one
@@ -22,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,10 @@ BLOCK_LINES, DATE = 512, "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES = 32 << 20
 #: Bytes of payload in a range partition, about.
 PART_BYTES = 64 << 20
+#: First keys of archives that the driver holds, about, whatever the input: they part the keys before archives are sought.
+FENCES = 1 << 14
+#: Records of a batch that a look-up gives out, and bytes of payload after which it ends early.
+BATCH, BATCH_BYTES = 512, 8 << 20
 
 
 #: Host, and path with query, of a URL with a scheme. Patterns that Python and Spark read alike.
@@ -121,24 +127,36 @@ class Archive:
         self.directory = [tuple(x) for x in json.loads(zlib.decompress(self.index.read_at(n, at)))]
         self.keys = [x[0] for x in self.directory]
 
+        self.at, self.lines = -1, []
+
     def block(self, k: int) -> list[tuple[str, int, int]]:
-        _, at, n = self.directory[k]
-        return [tuple(json.loads(x)) for x in zlib.decompress(self.index.read_at(n, at)).decode("utf-8", "surrogatepass").split("\n")]
+        """The lines of a block; the last one unpacked is kept, for keys that come in order."""
+        if k != self.at:
+            _, at, n = self.directory[k]
+            raw = zlib.decompress(self.index.read_at(n, at)).decode("utf-8", "surrogatepass")
+            self.at, self.lines = k, [tuple(json.loads(x)) for x in raw.split("\n")]
+        return self.lines
 
     def read(self, offset: int, length: int) -> dict:
         return parse(zlib.decompress(self.data.read_at(length, offset), 31))
 
-    def look_up(self, url: str) -> list[dict]:
-        key = url_key(url)
-        out, k = [], max(0, bisect.bisect_left(self.keys, key) - 1)
+    def records(self, key: str) -> Iterator[dict]:
+        """The records of a key: the directory is searched, then the blocks that may hold it."""
+        k = max(0, bisect.bisect_left(self.keys, key) - 1)
         while k < len(self.keys) and self.keys[k] <= key:
             lines = self.block(k)
             for i in range(bisect.bisect_left(lines, (key,)), len(lines)):
                 if lines[i][0] != key:
                     break
-                out.append(self.read(*lines[i][1:]))
+                yield self.read(*lines[i][1:])
             k += 1
-        return out
+
+    def look_up(self, url: str) -> list[dict]:
+        return list(self.records(url_key(url)))
+
+    def close(self) -> None:
+        self.data.close()
+        self.index.close()
 
 
 def revisit_marks(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -201,23 +219,84 @@ def write_warc(pages: DataFrame, out: str, least: int = 1000) -> DataFrame:
     return staged(made)
 
 
+FIELDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+PAYLOAD = pa.schema([("url", pa.string()), ("payload", pa.binary())])
+
+
+def _fields(with_payload: bool) -> tuple[pa.Schema, str]:
+    schema = pa.schema([*FIELDS, *PAYLOAD]) if with_payload else FIELDS
+    return schema, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", url string, payload binary" if with_payload else "")
+
+
+def _batches(records: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for r in records:
+        held.append({f: r[f] for f in schema.names})
+        size += len(r["payload"]) if "payload" in schema.names else 0
+        if len(held) == BATCH or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """One row a record, by every line of every index block."""
-    fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + ([("url", pa.string()), ("payload", pa.binary())] if with_payload else [])
+    fields, schema = _fields(with_payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
                 a = Archive(path)
-                for k in range(len(a.directory)):
-                    rows = [a.read(at, n) for _, at, n in a.block(k)]
-                    yield pa.RecordBatch.from_pylist([{f: r[f] for f, _ in fields} for r in rows], schema=pa.schema(fields))
+                yield from _batches((a.read(at, n) for k in range(len(a.directory)) for _, at, n in a.block(k)), fields)
+                a.close()
 
-    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", url string, payload binary" if with_payload else "")
     n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
     return manifest.select("path").repartition(n).mapInArrow(run, schema)
 
 
+def archives_of(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """(path, key): for each of keys(key), the archives whose range of keys holds it.
+
+    Some FENCES of the archives' first keys part the keys, so keys and archives meet by an equi-join of few archives a part. A key
+    that fills many archives gives a row for each.
+    """
+    n = manifest.count()
+    some = manifest.where(F.pmod(F.xxhash64("path"), F.lit(-(-n // FENCES) or 1)) == 0).select("first_key").distinct()
+    fences = manifest.sparkSession.sparkContext.broadcast(sorted(r.first_key for r in some.collect()))
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(fences.value, k) for k in key], dtype="int32")
+
+    spans = manifest.select("path", "first_key", "last_key", place("first_key").alias("lo"), place("last_key").alias("hi"))
+    spans = spans.select("path", "first_key", "last_key", F.explode(F.sequence("lo", "hi")).alias("place"))
+    return keys.select("key", place("key").alias("place")).join(spans, "place").where("first_key <= key AND key <= last_key").select("path", "key")
+
+
+def look_up_keys(manifest: DataFrame, keys: DataFrame, with_payload: bool = False) -> DataFrame:
+    """One row a record of any of keys(key), each key once: an archive's keys come to one task in order, each is searched in its index."""
+    fields, schema = _fields(with_payload)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[dict]:
+            a, opened = None, None
+            for b in batches:
+                for path, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if path != opened:
+                        if a:
+                            a.close()
+                        a, opened = Archive(path), path
+                    yield from a.records(key)
+            if a:
+                a.close()
+
+        yield from _batches(found(), fields)
+
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
+    return archives_of(manifest, keys.select("key").distinct()).repartition(n, "path").sortWithinPartitions("path", "key").mapInArrow(run, schema)
+
+
 def find_captures(manifest: DataFrame, url: str) -> list[dict]:
     """The records of a url: archives whose key range holds it, then each one's index."""
     key = F.lit(url_key(url))
@@ -226,4 +305,6 @@ def find_captures(manifest: DataFrame, url: str) -> list[dict]:
 
 
 def warc_round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
-    return read_warc(write_warc(pages, shared_dir(pages.sparkSession), least))
+    """Writes the pages' archives, then looks up the keys of all pages in them."""
+    manifest = write_warc(pages, shared_dir(pages.sparkSession), least)
+    return look_up_keys(manifest, pages.select(key_column(F.coalesce(F.col("url").cast("string"), F.lit(""))).alias("key")))

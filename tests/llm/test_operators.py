@@ -385,10 +385,11 @@ def pages(spark):
     big, other = "é" * 600, "<p>\r\n\r\nWARC/1.1</p>" * 100
     rows = [(1, "http://a.org/x", big), (2, "http://b.a.org/y?q=1#f", big), (9, None, big), (3, "http://a.org/x", "small"), (4, "no scheme", "small"), (5, "https://u@A.org:80", other), (None, "http://a.org/", other), (7, "http://a.org/z", None), (-8, "http://c.org/", other), (3, "http://a.org/x", "small"), (6, "http://d/", ""), (9, None, big)]
     rows += [(100 + i, f"http://h{i % 7}.org/{i}", f"{i}" * 700) for i in range(1200)]
+    rows += [(5000 + i, "http://hot.org/", f"hot {i % 400}" * 200) for i in range(900)]  # a key over several archives
     return rows, spark.createDataFrame([(*r, *(None,) * 3) for r in rows], "page_id bigint, url string, html string, key string, digest string, payload string").repartition(4)
 
 
-def test_warc(pages, spark):
+def test_warc(pages, spark, monkeypatch):
     rows, df = pages
     manifest = warc.write_warc(df, common.shared_dir(spark))
     got = sorted_rows(warc.read_warc(manifest, True), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -407,6 +408,17 @@ def test_warc(pages, spark):
     for u in ("http://a.org/x", "http://h3.org/703", "no scheme", "http://nowhere.org/"):
         assert sorted(r["page_id"] for r in warc.find_captures(manifest, u)) == sorted(i for i, v, _ in rows if v == u)
     assert {r["payload"] for r in warc.find_captures(manifest, "http://h3.org/703")} == {b"703" * 700}
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    trip = sorted_rows(warc.warc_round_trip(df), *columns)
+    assert trip == [r[:5] for r in got] and warc.warc_round_trip(df).columns == list(columns)
+    hot = [m for m in at if m.first_key <= "org,hot)/" <= m.last_key]
+    assert len(hot) > 1
+    asked = spark.createDataFrame([("org,hot)/",), ("org,h3)/703",), ("org,nowhere)/",), ("org,hot)/",), ("",), ("~",)], "key string")
+    for fences in (1 << 14, 2, 1):
+        monkeypatch.setattr(warc, "FENCES", fences)
+        assert len(set(pairs := warc.archives_of(manifest, asked.distinct()).where("key = 'org,hot)/'").collect())) == len(pairs) == len(hot)
+        found = sorted_rows(warc.look_up_keys(manifest, asked, True), "page_id", "url")
+        assert found == sorted(((i, u or "") for i, u, _ in rows if u in ("http://hot.org/", "http://h3.org/703", None)), key=repr)
     assert warc.warc_round_trip(df.limit(0)).count() == 0
 
 
