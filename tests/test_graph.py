@@ -162,6 +162,13 @@ def test_walks_follow_edges_and_coalesce(toy, spark):
     assert [r.path for r in walk.random_walks(sink, 1, 1).collect()] == [[1, 0]]
     assert sorted(r.path for r in walk.random_walks(sink, 1, 1, keep_stuck=True).collect()) == [[0], [1, 0]]
     assert all(e in edges for r in walk.weighted_walks(arcs, 2, 4).collect() for e in zip(r.path, r.path[1:], strict=False))
+    # paths that were cut off in pieces on the way are whole again, and dropped walks stay dropped
+    chain = spark.createDataFrame([(k + 1, k) for k in range(8)], "src bigint, dst bigint").withColumn("weight", F.lit(1.0))
+    for rows, make in ((arcs, walk.random_walks), (arcs, walk.weighted_walks), (chain, walk.random_walks), (chain, walk.weighted_walks)):
+        whole, pieces = (sorted(map(tuple, make(rows, 2, 7, cut_every=c).collect())) for c in (7, 2))
+        assert whole == pieces and whole and all(len(r[2]) == 8 for r in whole)
+    stuck = [sorted(map(tuple, walk.random_walks(chain, 1, 7, keep_stuck=True, cut_every=c).collect())) for c in (7, 3)]
+    assert stuck[0] == stuck[1] and {len(r[2]) for r in stuck[0]} == set(range(1, 9))
 
 
 def test_link_prediction(spark):
