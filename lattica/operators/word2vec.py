@@ -1,7 +1,9 @@
 """Word embeddings: skip-gram and CBOW with hierarchical softmax, negative sampling and subsampling.
 
 The vocabulary, the tree and the weights are shared with every task, so vocabulary x dimension is bounded and checked; the corpus
-is not. Each iteration trains partitions apart and averages the rows that any of them changed.
+is not. Each iteration trains partitions apart and averages, in executors, the rows that any of them changed; the driver gets the
+averages as packed batches. A window is one matrix step: all its words meet the target's outputs as they were before it, and their
+gradients add up.
 """
 
 from __future__ import annotations
@@ -111,37 +113,57 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+@dataclass
+class Ragged:
+    """Lists of different lengths in one array; the k-th is between the k-th and the next of begin."""
+
+    flat: np.ndarray
+    begin: np.ndarray
+
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Ragged:
+        return cls(np.fromiter((x for own in lists for x in own), "i4"), np.cumsum([0, *map(len, lists)]))
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.flat[self.begin[k] : self.begin[k + 1]]
+
+
 @dataclass
 class _Weights:
     syn0: np.ndarray
     syn1: np.ndarray
     syn1neg: np.ndarray
-    touched: list[set] = field(default_factory=lambda: [set(), set(), set()])
-
-    def learn(self, h: np.ndarray, c: Config, word: int, codes: list, points: list, draw, lr: float) -> np.ndarray:
-        """Updates output rows for an input h and a target word; the gradient for the input."""
-        grad = np.zeros_like(h)
-        if c.hs and points[word]:
-            at = np.array(points[word])
-            f = self.syn1[at] @ h
-            ok = np.abs(f) < 6
-            at, g = at[ok], ((1 - np.array(codes[word])[ok] - _sigmoid(f[ok])) * lr).astype("f4")
-            grad += g @ self.syn1[at]
-            self.syn1[at] += g[:, None] * h
-            self.touched[1].update(at.tolist())
+    touched: list[np.ndarray] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.touched = [np.zeros(len(t), bool) for t in (self.syn0, self.syn1, self.syn1neg)]
+
+    def learn(self, h: np.ndarray, c: Config, word: int, codes: Ragged | list, points: Ragged | list, draw, lr: float) -> np.ndarray:
+        """Updates output rows for inputs h, one or a row each, and a target word; the gradient for each input."""
+        x = np.atleast_2d(h)
+        grad = np.zeros_like(x)
+        if c.hs and len(points[word]):
+            at, want = np.asarray(points[word]), 1 - np.asarray(codes[word])
+            out = self.syn1[at]
+            f = x @ out.T
+            g = np.where(np.abs(f) < 6, (want - _sigmoid(np.clip(f, -6, 6))) * lr, 0).astype("f4")
+            grad += g @ out
+            self.syn1[at] = out + g.T @ x
+            self.touched[1][at] = True
         if c.negative:
             drawn = draw(c.negative)
             at = np.unique(np.append(drawn[drawn != word], word))
-            f = np.clip(self.syn1neg[at] @ h, -30, 30)
-            f = np.where(f > 6, 1.0, np.where(f < -6, 0.0, _sigmoid(f)))
+            out = self.syn1neg[at]
+            f = x @ out.T
+            f = np.where(f > 6, 1.0, np.where(f < -6, 0.0, _sigmoid(np.clip(f, -6, 6))))
             g = (((at == word) - f) * lr).astype("f4")
-            grad += g @ self.syn1neg[at]
-            self.syn1neg[at] += g[:, None] * h
-            self.touched[2].update(at.tolist())
-        return grad
+            grad += g @ out
+            self.syn1neg[at] = out + g.T @ x
+            self.touched[2][at] = True
+        return grad.reshape(h.shape)
 
 
-def _train(sentences: Iterator[list[int]], w: _Weights, c: Config, counts: np.ndarray, codes: list, points: list, rng: np.random.Generator) -> None:
+def _train(sentences: Iterator[list[int]], w: _Weights, c: Config, counts: np.ndarray, codes: Ragged, points: Ragged, rng: np.random.Generator) -> None:
     total = int(counts.sum())
     edges = np.cumsum(counts.astype(float) ** 0.75)
     draw = lambda n: np.searchsorted(edges, rng.random(n) * edges[-1], "right")
@@ -149,22 +171,18 @@ def _train(sentences: Iterator[list[int]], w: _Weights, c: Config, counts: np.nd
     seen = 0
     for s in sentences:
         seen += len(s)
-        lr = rate(c, seen, total)
+        lr, s = rate(c, seen, total), np.array(s)
         if ratio is not None:
-            keep = np.sqrt(ratio[s] + 1) / ratio[s] >= rng.random(len(s))
-            s = [x for x, k in zip(s, keep, strict=True) if k]
-        for i, word in enumerate(s):
-            reach = c.window - int(rng.integers(c.window))
-            near = s[max(0, i - reach) : i] + s[i + 1 : i + 1 + reach]
-            if not near:
+            s = s[np.sqrt(ratio[s] + 1) / ratio[s] >= rng.random(len(s))]
+        reaches = c.window - rng.integers(c.window, size=len(s))
+        for i, (word, reach) in enumerate(zip(s.tolist(), reaches.tolist(), strict=True)):
+            near = np.concatenate((s[max(0, i - reach) : i], s[i + 1 : i + 1 + reach]))
+            if not len(near):
                 continue
-            if c.cbow:
-                grad = w.learn(w.syn0[near].sum(0), c, word, codes, points, draw, lr)
-                np.add.at(w.syn0, near, grad)
-            else:
-                for x in near:
-                    w.syn0[x] += w.learn(w.syn0[x].copy(), c, word, codes, points, draw, lr)
-            w.touched[0].update(near)
+            x = w.syn0[near]
+            grad = w.learn(x.sum(0) if c.cbow else x, c, word, codes, points, draw, lr)
+            np.add.at(w.syn0, near, grad)
+            w.touched[0][near] = True
 
 
 @dataclass
@@ -221,19 +239,24 @@ def document_vectors(docs: DataFrame, vectors: DataFrame, size: int, id_col: str
     return docs.join(sums, id_col, "left").select(id_col, F.transform(whole, lambda x: x / F.greatest(F.size(tokens_col), F.lit(1))).alias("vector"))
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype="i4"), rows.ravel())
+
+
 def fit(tokens: DataFrame, c: Config) -> Model:
     """Trains on tokens(tokens array<string>)."""
     spark = tokens.sparkSession
-    vocab = vocabulary(tokens, c.min_count).orderBy("idx").limit(MAX_CELLS // c.vector_size + 1).collect()
-    if not vocab:
+    vocab = vocabulary(tokens, c.min_count).orderBy("idx").limit(MAX_CELLS // c.vector_size + 1).select("word", "cn").toArrow()
+    n, d = len(vocab), c.vector_size
+    if not n:
         raise ValueError("the vocabulary is empty")
-    if len(vocab) * c.vector_size > MAX_CELLS:
+    if n * d > MAX_CELLS:
         raise ValueError("vocabulary x vector_size is too large to share with every task")
-    n, d = len(vocab), c.vector_size
-    counts = np.array([r.cn for r in vocab])
-    codes, points = huffman(counts.tolist())
-    shared = spark.sparkContext.broadcast(({r.word: i for i, r in enumerate(vocab)}, counts, codes, points))
-    tables = [((np.random.default_rng(c.seed).random((n, d)) - 0.5) / d).astype("f4"), np.zeros((n, d), "f4"), np.zeros((n, d), "f4")]
+    words, counts = vocab["word"].to_pylist(), vocab["cn"].to_numpy()
+    codes, points = map(Ragged.of, huffman(counts.tolist()))
+    shared = spark.sparkContext.broadcast(({x: i for i, x in enumerate(words)}, counts, codes, points))
+    unused = np.zeros((0, d), "f4")
+    tables = [((np.random.default_rng(c.seed).random((n, d)) - 0.5) / d).astype("f4"), np.zeros((n, d), "f4") if c.hs else unused, np.zeros((n, d), "f4") if c.negative else unused]
     corpus = tokens.select("tokens").repartition(c.partitions)
     for k in range(c.iterations):
         weights = spark.sparkContext.broadcast(tables)
@@ -252,20 +275,25 @@ def fit(tokens: DataFrame, c: Config) -> Model:
                             yield known[i : i + c.max_sentence]
 
             _train(sentences(), w, c, counts, codes, points, np.random.default_rng([c.seed, k, TaskContext.get().partitionId()]))
-            for t, (rows, table) in enumerate(zip(w.touched, (w.syn0, w.syn1, w.syn1neg), strict=True)):
-                at = sorted(rows)
-                for lo in range(0, len(at), 4096):
-                    part = at[lo : lo + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array(table[part].tolist(), pa.list_(pa.float32()))], ["t", "row", "v"])
-
-        changed = corpus.mapInArrow(train, "t int, row int, v array<float>")
-        # a row comes at most once a partition
-        mean = changed.groupBy("t", "row").agg(F.collect_list("v").alias("vs"))
-        zeros = F.array_repeat(F.lit(0.0), d)
-        summed = F.aggregate("vs", zeros, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b), lambda acc: F.transform(acc, lambda a: (a / F.size("vs")).cast("float")))
-        for r in mean.select("t", "row", summed.alias("v")).toLocalIterator():
-            tables[r.t][r.row] = r.v
+            for t, (touched, table) in enumerate(zip(w.touched, (w.syn0, w.syn1, w.syn1neg), strict=True)):
+                rows = np.flatnonzero(touched)
+                for lo in range(0, len(rows), 4096):
+                    at = rows[lo : lo + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array(t * n + at), _lists(table[at])], ["at", "v"])
+
+        changed = corpus.mapInArrow(train, "at bigint, v array<float>")
+        mean = changed.groupBy("at").agg(vector_to_array(Summarizer.mean(array_to_vector("v")), "float32").alias("v"))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cells = b.column(1).flatten().to_numpy().astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (b.column(0).to_numpy().astype("<i8"), cells)], ["at", "v"])
+
+        for r in mean.mapInArrow(pack, "at binary, v binary").toLocalIterator():
+            at, v = np.frombuffer(r.at, "<i8"), np.frombuffer(r.v, "<f4").reshape(-1, d)
+            for t, table in enumerate(tables):
+                own = at // n == t
+                table[at[own] % n] = v[own]
         weights.destroy()
     shared.destroy()
-    rows = [(r.word, [float(x) for x in tables[0][i]]) for i, r in enumerate(vocab)]
-    return Model(spark.createDataFrame(rows, "word string, vector array<float>"), d)
+    return Model(spark.createDataFrame(pa.table({"word": words, "vector": _lists(tables[0])}), "word string, vector array<float>"), d)
