@@ -6,9 +6,12 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Lists in which a group is folded by an operator that has no aggregate.
+BUCKETS = 1024
+
 
 def _nan() -> Column:
     return F.lit(float("nan"))
@@ -50,7 +53,7 @@ SECOND = BinaryOp("second", lambda a, b: b)
 
 @dataclass(frozen=True)
 class Monoid:
-    """An operator with its identity. `fold` is its aggregate; without one, a group's values are folded in sorted order."""
+    """An operator with its identity. `fold` is its aggregate; without one, lists of a group's values are folded in sorted order."""
 
     op: BinaryOp
     identity: float
@@ -64,6 +67,15 @@ class Monoid:
             return self.fold(x)
         return F.aggregate(F.array_sort(F.collect_list(x)), F.lit(float(self.identity)), lambda acc, v: self.op(acc, v))
 
+    def reduce(self, df: DataFrame, keys: list[str], x: Column, into: str, spread: Column) -> DataFrame:
+        """(keys, into): x folded by keys. Without an aggregate of its own a group is folded in buckets of `spread` first, which only
+        an associative and commutative operator allows, so that no list holds a whole hot group."""
+        if self.fold:
+            return df.groupBy(*keys).agg(self.fold(x).alias(into))
+        bucket = F.pmod(F.xxhash64(spread), F.lit(BUCKETS)).alias("__bucket")
+        once = df.select(*keys, x.alias(into), bucket).groupBy(*keys, "__bucket").agg(self.aggregate(F.col(into)).alias(into))
+        return once.groupBy(*keys).agg(self.aggregate(F.col(into)).alias(into))
+
 
 PLUS_MONOID = Monoid(PLUS, 0.0, F.sum)
 TIMES_MONOID = Monoid(TIMES, 1.0, F.product)

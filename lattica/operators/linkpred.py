@@ -46,7 +46,8 @@ def negatives_by_node(edges: DataFrame, ratio: float, seed: int = 42) -> DataFra
     """(u, v): for each u with int(ratio * degree) = n, up to n of n + degree drawn nodes that are no neighbours of u.
 
     Draws are md5-keyed places in the sorted node list, with replacement, then distinct; u itself is no candidate here. A node's draws
-    number as its edges; they are made one row each, and ranked among its own.
+    number as its edges; they are made one row each, and their places in one distributed order tell those among a node's own, so
+    that a hub's candidates are not one task's.
     """
     nodes = with_row_index(node_list(edges), F.asc("node"), name="k")
     total = nodes.count()
@@ -56,8 +57,9 @@ def negatives_by_node(edges: DataFrame, ratio: float, seed: int = 42) -> DataFra
     drawn = degrees.select("u", "n", F.explode(F.sequence(F.lit(1), (F.col("n") + F.col("d")).cast("int"))).alias("t")).withColumn("h", key)
     named = drawn.withColumn("k", _place(F.col("h"), total)).join(nodes, "k").select("u", "n", F.col("node").alias("v"), "h").where("u <> v")
     first = named.groupBy("u", "v").agg(F.min("h").alias("h"), F.first("n").alias("n")).join(pairs, ["u", "v"], "left_anti")
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("h", "v")))
-    return ranked.where("rank <= n").select("u", "v")
+    placed = with_row_index(first, F.asc("u"), F.asc("h"), F.asc("v"), name="place")
+    begins = placed.groupBy("u").agg(F.min("place").alias("begin"))
+    return placed.join(begins, "u").where(F.col("place") - F.col("begin") < F.col("n")).select("u", "v")
 
 
 def edge_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

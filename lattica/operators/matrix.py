@@ -62,7 +62,7 @@ def multiply(a: DataFrame, b: DataFrame, semiring: Semiring = PLUS_TIMES) -> Dat
     partial aggregate by cell."""
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("a"))
     right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("b"))
-    return left.join(right, "k").groupBy(KEY).agg(semiring.add.aggregate(semiring.mul(F.col("a"), F.col("b"))).alias("v"))
+    return semiring.add.reduce(left.join(right, "k"), KEY, semiring.mul(F.col("a"), F.col("b")), "v", F.col("k"))
 
 
 def gemm(alpha: float, a: DataFrame, b: DataFrame, beta: float, c: DataFrame) -> DataFrame:

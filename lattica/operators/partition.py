@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.lineage import cut, with_row_index
 from .graph import Graph
@@ -119,8 +120,8 @@ def thresholds(assigned: DataFrame, parts: int) -> DataFrame:
     sizes = assigned.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     all_parts = assigned.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
     filled = all_parts.join(sizes, "part", "left").select("part", F.coalesce("n", F.lit(0)).alias("n"))
-    before = filled.select(F.col("part").alias("p"), F.col("n").alias("m"))
-    return filled.join(before, F.col("p") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).cast("bigint").alias("start"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return filled.select("part", F.coalesce(before, F.lit(0)).cast("bigint").alias("start"))
 
 
 def lower_bound(a: list[int], x: int) -> int:

@@ -109,7 +109,8 @@ def dot(a: DataFrame, b: DataFrame) -> DataFrame:
 def vxm(v: DataFrame, matrix: DataFrame, semiring: Semiring = PLUS_TIMES) -> DataFrame:
     """v times matrix(i, j, v): only reached columns appear. A join, then a partial aggregate by column."""
     product = semiring.mul(F.col("val"), F.col("v"))
-    return v.join(matrix, F.col("idx") == F.col("i")).groupBy("j").agg(semiring.add.aggregate(product).alias("val")).select(F.col("j").alias("idx"), "val")
+    reached = v.join(matrix, F.col("idx") == F.col("i"))
+    return semiring.add.reduce(reached, ["j"], product, "val", F.col("i")).select(F.col("j").alias("idx"), "val")
 
 
 def collect(v: DataFrame) -> list[tuple[int, float]]:

@@ -248,3 +248,37 @@ def test_local_linalg():
     assert local.spr(1.0, local.sparse_vector(2, [(0, 1.0), (1, 2.0)]), np.zeros(3)).tolist() == [1, 2, 4]
     with pytest.raises(ValueError):
         local.from_coo(1, 1, [(1, 0, 1.0)])
+
+
+def test_fold_without_an_aggregate(spark):
+    """A monoid of the user's own gives what its built-in twin gives, though a hot group is folded in buckets."""
+    longest = algebra.Monoid(algebra.MAX, -1e300)
+    a = spark.range(3000).select(F.lit(0).cast("bigint").alias("i"), F.col("id").alias("j"), F.pmod(F.col("id") * 7919, F.lit(3001)).cast("double").alias("v"))
+    b = spark.range(3000).select(F.col("id").alias("i"), F.pmod("id", F.lit(2)).alias("j"), F.lit(2.0).alias("v"))
+    own, built_in = (sorted(map(tuple, matrix.multiply(a, b, algebra.Semiring(m, algebra.PLUS)).collect())) for m in (longest, algebra.MAX_MONOID))
+    assert own == built_in and len(own) == 2
+    v = a.select(F.col("j").alias("idx"), F.col("v").alias("val"))
+    assert sorted(map(tuple, vector.vxm(v, b, algebra.Semiring(longest, algebra.PLUS)).collect())) == [(j, x) for _, j, x in built_in]
+
+
+def test_trainer_parts_topics(spark):
+    """Words of one topic are each other's nearest, with either output and either input."""
+    rng = np.random.default_rng(1)
+    t = spark.createDataFrame([([f"{topic}_{w}" for w in rng.integers(8, size=20)],) for topic in rng.integers(6, size=600)], "tokens array<string>")
+    for cbow, hs, negative in ((False, True, 0), (False, False, 5), (True, True, 0)):
+        m = word2vec.fit(t, word2vec.Config(vector_size=16, partitions=2, iterations=3, min_count=1, learning_rate=0.05, cbow=cbow, hs=hs, negative=negative))
+        v = {r.word: np.array(r.vector) for r in m.vectors.collect()}
+        words = sorted(v)
+        x = np.array([v[w] / np.linalg.norm(v[w]) for w in words])
+        near = np.argsort(x @ x.T - 9 * np.eye(len(x)), 1)[:, -3:]
+        assert np.mean([words[i][0] == words[j][0] for i in range(len(words)) for j in near[i]]) > 0.9
+
+
+def test_negatives_of_a_hub(spark):
+    """A hub's negatives are the first of its own draws, none of them a neighbour."""
+    e = spark.range(1, 400).select(F.lit(0).cast("bigint").alias("u"), "id").toDF("u", "v").unionAll(spark.range(400, 900).select("id", F.col("id") + 1).toDF("u", "v"))
+    per = {}
+    for r in linkpred.negatives_by_node(e, 0.5).collect():
+        per.setdefault(r.u, set()).add(r.v)
+    assert len(per[0]) == 199 and all(400 <= v <= 900 for v in per[0])
+    assert all(len(x) <= 1 for u, x in per.items() if u)
