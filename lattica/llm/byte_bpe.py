@@ -7,7 +7,8 @@ change and encodes anew only a window around the seam, which grows until its out
   of its start (a property of the pattern dealt; one that looks further needs another bound in _join_texts); scanning on from a final match gives the same matches from the first one that ends where a match of the
   right half ends;
 * between tokens of one long match: a sequence of tokens is the encoding of its bytes if and only if every two neighbours
-  are the encoding of their own bytes, so a window is wide enough once the pairs at both of its edges are.
+  are the encoding of their own bytes, so a window is wide enough once the pairs at both of its edges are. That holds if every
+  token is the encoding of its own bytes, which is checked for all; for other ranks a long match is merged as one, by a heap.
 
 Decoding concatenates the tokens' bytes up the same kind of tree.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 
 import pyarrow as pa
 import regex
@@ -29,6 +31,8 @@ from .common import held, map_arrow, string_column
 
 #: Characters of a leaf of the text's tree; bytes of a leaf of a long match's tree.
 LEAF_CHARS, LEAF_BYTES = 4096, 48
+#: Bytes from which merging takes its next pair from a heap rather than by looking at all.
+HEAP_BYTES = 256
 CACHE = 300_000
 
 
@@ -39,13 +43,15 @@ class Codec:
         self.known: dict[str, tuple[int, ...]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         # the theorem on neighbours needs each token to encode to itself
-        self.closed = all(self._merge(k) == [v] for k, v in ranks.items() if len(k) <= 256)
+        self.closed = all(self._merge(k) == [v] for k, v in ranks.items())
 
     def _merge(self, raw: bytes) -> list[int]:
         """The definition: merge the leftmost pair of lowest rank until none is left."""
         rank = self.ranks
-        if raw in rank and len(raw) == 1:
+        if len(raw) == 1:
             return [rank[raw]]
+        if len(raw) > HEAP_BYTES:
+            return self._merge_by_heap(raw)
         parts = [raw[i : i + 1] for i in range(len(raw))]
         get = rank.get
         pairs = [get(raw[i : i + 2], 1 << 60) for i in range(len(raw) - 1)]
@@ -62,6 +68,27 @@ class Codec:
                 pairs[i - 1] = get(parts[i - 1] + parts[i], 1 << 60)
         return [rank[p] for p in parts]
 
+    def _merge_by_heap(self, raw: bytes) -> list[int]:
+        """The same: a part is known by where it begins, a pair by its rank, its begin and its end."""
+        get, n = self.ranks.get, len(raw)
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(raw[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, e = heapq.heappop(heap)
+            middle = end[i]
+            if not i < middle < n or end[middle] != e:  # one of the two has been merged since
+                continue
+            end[i], end[middle], before[e] = e, 0, i
+            for a, z in ((before[i], e), (i, end[e] if e < n else 0)):
+                if a >= 0 and z and (r := get(raw[a:z])) is not None:
+                    heapq.heappush(heap, (r, a, z))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[raw[i : end[i]]])
+            i = end[i]
+        return out
+
     def _pair(self, a: int, b: int) -> bool:
         key = (a, b)
         found = self.fits.get(key)

@@ -520,6 +520,16 @@ def test_byte_bpe(odd, empty):
     for t in texts:
         ids = c.encode(t)
         assert ids == want.encode_ordinary(t) and c.decode(ids) == t.encode()
+    short = {k: v for k, v in c.ranks.items() if len(k) < 3}  # and ranks for which neighbours prove nothing: "abcd" is never reached
+    for more in ({}, {b"abcd": len(c.ranks)}):
+        own, words = byte_bpe.Codec(short | more, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=short | more, special_tokens={})
+        assert own.closed == (not more)
+        for n in (40, 257, 1000, 9000):
+            t = "".join(g.choice(list("abcdeé"), n))
+            assert own.encode(t) == words.encode_ordinary(t)
+    for n in (2, 3, 60, 256):
+        raw = bytes(g.integers(97, 101, n).tolist())
+        assert c._merge_by_heap(raw) == c._merge(raw)
     rows, df = odd
     got = byte_bpe.bpe_round_trip(df, path, P.PATTERN)
     sha = lambda b: hashlib.sha256(b).hexdigest()
