@@ -12,7 +12,7 @@ from .common import table
 from .embedding_dedup import embedding_components
 from .packing import pack_documents
 from .quality import classify
-from .rules import BASE, CURRENT, apply_policy, rule_ledger
+from .rules import BASE, CURRENT, POLICIES, RULES, ablations, apply_policy, rule_ledger
 from .secret_scan import KINDS, secret_scan
 from .simhash import simhash_components
 from .suffix_dedup import suffix_dedup
@@ -64,6 +64,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "failed")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy drops, and what it alone does, from the ledger of op8."""
+    return ablations(rule_ledger(table(spark, sf_dir, "documents")), CURRENT)
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
@@ -73,7 +78,26 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_token_files, op4_warc, op5_quality_classifier, op6_byte_bpe, op7_suffix_dedup, op8_quality_rules, op9_embedding_dedup, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_packing, op3_token_files, op4_warc, op5_quality_classifier, op6_byte_bpe, op7_suffix_dedup, op8_quality_rules, rule_ablations, op9_embedding_dedup, op10_simhash_dedup)}
+
+_LEDGER = r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        s AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
+        w AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM s)),
+        g AS (SELECT doc_id, i, word = lag(word) OVER o AS again, string_agg(word, ' ') OVER (o ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS gram, lead(word, 7) OVER o AS last
+              FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        twice AS (SELECT doc_id, unnest(list(i)) AS i FROM g WHERE last IS NOT NULL GROUP BY doc_id, gram HAVING count(*) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(8) AS r(k) GROUP BY doc_id),
+        stutter AS (SELECT doc_id, count(*) FILTER (again) AS n_stutter FROM g GROUP BY doc_id),
+        top AS (SELECT doc_id, max(n) AS n_top_word FROM (SELECT doc_id, word, count(*) AS n FROM w GROUP BY doc_id, word) GROUP BY doc_id),
+        m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                     len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                     length(regexp_replace(t, '\P{Lu}', '', 'g')) AS n_upper, length(regexp_replace(t, '\P{L}', '', 'g')) AS n_letters,
+                     coalesce(n_top_word, 0) AS n_top_word, coalesce(n_stutter, 0) AS n_stutter, regexp_matches(t, '[.!?]([\x20\x09-\x0D"'')]|$)') AS ends
+              FROM s LEFT JOIN covered USING (doc_id) LEFT JOIN stutter USING (doc_id) LEFT JOIN top USING (doc_id)),
+        f AS (SELECT *, n_words < 20 AS few, 100 * n_repeat_words > 30 * n_words AS rep, 100 * n_symbols > 30 * n_words AS sym, 100 * n_dup_lines > 30 * n_lines AS dup,
+                     word_chars < 2 * n_words OR word_chars > 15 * n_words AS long, 2 * n_upper > n_letters AND n_letters > 0 AS loud, 100 * n_top_word > 30 * n_words AS top,
+                     NOT ends AS endless, 100 * n_stutter > 20 * n_words AS stut FROM m)"""
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
@@ -99,30 +123,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
                CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(coalesce(rest, b)) AS kept_sha256
         FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)""",
-    "op8_quality_rules": r"""
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-        s AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
-        w AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM s)),
-        g AS (SELECT doc_id, i, word = lag(word) OVER o AS again, string_agg(word, ' ') OVER (o ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS gram, lead(word, 7) OVER o AS last
-              FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-        twice AS (SELECT doc_id, unnest(list(i)) AS i FROM g WHERE last IS NOT NULL GROUP BY doc_id, gram HAVING count(*) > 1),
-        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(8) AS r(k) GROUP BY doc_id),
-        stutter AS (SELECT doc_id, count(*) FILTER (again) AS n_stutter FROM g GROUP BY doc_id),
-        top AS (SELECT doc_id, max(n) AS n_top_word FROM (SELECT doc_id, word, count(*) AS n FROM w GROUP BY doc_id, word) GROUP BY doc_id),
-        m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-                     len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-                     length(regexp_replace(t, '\P{Lu}', '', 'g')) AS n_upper, length(regexp_replace(t, '\P{L}', '', 'g')) AS n_letters,
-                     coalesce(n_top_word, 0) AS n_top_word, coalesce(n_stutter, 0) AS n_stutter, regexp_matches(t, '[.!?]([\x20\x09-\x0D"'')]|$)') AS ends
-              FROM s LEFT JOIN covered USING (doc_id) LEFT JOIN stutter USING (doc_id) LEFT JOIN top USING (doc_id)),
-        f AS (SELECT *, n_words < 20 AS few, 100 * n_repeat_words > 30 * n_words AS rep, 100 * n_symbols > 30 * n_words AS sym, 100 * n_dup_lines > 30 * n_lines AS dup,
-                     word_chars < 2 * n_words OR word_chars > 15 * n_words AS long, 2 * n_upper > n_letters AND n_letters > 0 AS loud, 100 * n_top_word > 30 * n_words AS top,
-                     NOT ends AS endless, 100 * n_stutter > 20 * n_words AS stut FROM m)
+    "op8_quality_rules": _LEDGER
+    + """
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
                CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, few OR rep AS base_failed,
                NOT (few OR rep OR sym OR long OR loud OR top OR stut) AS kept,
                CAST(few AS BIGINT) + 2 * CAST(rep AS BIGINT) + 4 * CAST(sym AS BIGINT) + 8 * CAST(dup AS BIGINT) + 16 * CAST(long AS BIGINT) + 32 * CAST(loud AS BIGINT)
                + 64 * CAST(top AS BIGINT) + 128 * CAST(endless AS BIGINT) + 256 * CAST(stut AS BIGINT) AS failed
         FROM f""",
+    "rule_ablations": _LEDGER
+    + f"""
+        , b AS (SELECT few::INT + 2 * rep::INT + 4 * sym::INT + 16 * long::INT + 32 * loud::INT + 64 * top::INT + 256 * stut::INT AS hit FROM f),
+        r(rule, bit) AS (VALUES {", ".join(f"('{r}', {1 << RULES.index(r)})" for r in POLICIES[CURRENT])})
+        SELECT rule, count(*) FILTER (hit & bit <> 0) AS n_failed, count(*) FILTER (hit = bit) AS n_only FROM r LEFT JOIN b ON true GROUP BY rule""",
     # all pairs, and every label that passes a vector: for small tables
     "op9_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -44,7 +44,7 @@ def test_on_odd_rows(spark, tmp_path, rows):
     doc = pa.table({"doc_id": pa.array(range(len(TEXTS)), pa.int64()), "text": pa.array(TEXTS, pa.string())})
     for name, t in (("documents", doc), ("embeddings", vec)):
         pq.write_table(t.slice(0, rows), f"{tmp_path}/{name}.parquet")
-    for name in ("op7_suffix_dedup", "op8_quality_rules", "op9_embedding_dedup"):
+    for name in ("op7_suffix_dedup", "op8_quality_rules", "rule_ablations", "op9_embedding_dedup"):
         compare(spark, name, str(tmp_path))
 
 
