@@ -423,13 +423,22 @@ def word2vec_train(spark, d):
     return word2vec.fit(corpus, word2vec.Config(vector_size=16, partitions=4, min_count=1, cbow=True, negative=2)).vectors
 
 
+def _sizes(trained: DataFrame) -> DataFrame:
+    return trained.select("word", F.size("vector").alias("size"), F.forall("vector", lambda x: F.abs(x) < float("inf")).alias("finite"))
+
+
 @query(f"{_walk_sql(STEPS)} SELECT word, 16 AS size, true AS finite FROM (SELECT unnest(string_split(path, ' ')) AS word FROM w{STEPS}) GROUP BY 1")
 def walk_embedding(spark, d):
     """Skip-gram with tree over the walks, so that the vocabulary grows with the graph. SQL tells the words; the vectors have to be finite."""
     paths = walk.random_walks(sp(spark, d).arcs(), WALKS, STEPS, SEED)
     corpus = paths.select(F.transform("path", lambda x: x.cast("string")).alias("tokens"))
-    trained = word2vec.fit(corpus, word2vec.Config(vector_size=16, partitions=8, min_count=1)).vectors
-    return trained.select("word", F.size("vector").alias("size"), F.forall("vector", lambda x: F.abs(x) < float("inf")).alias("finite"))
+    return _sizes(word2vec.fit(corpus, word2vec.Config(vector_size=16, partitions=8, min_count=1)).vectors)
+
+
+@query(f"WITH {WORDS_SQL} SELECT word, 16 AS size, true AS finite FROM vocab")
+def document_embedding(spark, d):
+    """Skip-gram with tree over whole documents. SQL tells the words; the vectors have to be finite."""
+    return _sizes(word2vec.fit(tokens(spark, d), word2vec.Config(vector_size=16, partitions=8, min_count=5)).vectors)
 
 
 # link prediction
