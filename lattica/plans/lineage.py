@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found or os.path.join(tempfile.gettempdir(), "lattica-checkpoints")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a table in the shared folder, computed once where a checkpoint computes its last stage twice; the driver's exit deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing holds any more: it does once the driver's JVM has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def with_row_index(df: DataFrame, *order: Column, name: str = "row_index") -> DataFrame:
     """A gapless index from 0 in the given order, without a single-task sort: range partitions, then each one's offset."""
     placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))

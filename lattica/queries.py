@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import algebra, arrays
 from .operators import linkpred, matrix, partition, vector, walk, word2vec
+from .operators.closed import closed_paths
 from .operators.graph import Graph
 from .sources.text import walk_lines
 
@@ -61,10 +62,10 @@ def nn(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy(F.col("c_nationkey").cast("bigint").alias("i"), F.col("s_nationkey").cast("bigint").alias("j")).agg(F.count(F.lit(1)).cast("double").alias("v"))
 
 
-def pp(spark: SparkSession, d: str) -> Graph:
+def pp(spark: SparkSession, d: str) -> DataFrame:
+    """(i, j) of parts that share an order, i < j; a pair that shares several comes several times."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    pairs = lines.withColumnRenamed("p", "src").join(lines.withColumnRenamed("p", "dst"), "o").where("src < dst")
-    return Graph(pairs.select("src", "dst").distinct())
+    return lines.withColumnRenamed("p", "i").join(lines.withColumnRenamed("p", "j"), "o").where("i < j").select("i", "j")
 
 
 def u_w(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -259,13 +260,12 @@ def common_neighbors(spark, d):
 
 @query(f"WITH {PP_SQL} SELECT count(*) AS triangles FROM pp a JOIN pp b ON a.dst = b.src JOIN pp c ON c.src = a.src AND c.dst = b.dst")
 def triangle_count(spark, d):
-    return matrix.triangles(pp(spark, d).edges.select(F.col("src").alias("i"), F.col("dst").alias("j")))
+    return matrix.triangles(pp(spark, d).distinct())
 
 
 @query(f"WITH {PP_SQL} SELECT a.src AS i, b.dst AS j, CAST(count(*) AS DOUBLE) AS v FROM pp a JOIN pp b ON a.dst = b.src JOIN pp c ON c.src = a.src AND c.dst = b.dst GROUP BY 1, 2")
 def masked_spgemm(spark, d):
-    e = pp(spark, d).edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("v"))
-    return matrix.hadamard(matrix.multiply(e, e), e)
+    return closed_paths(pp(spark, d)).select("i", "j", F.col("v").cast("double").alias("v"))
 
 
 # partitioning

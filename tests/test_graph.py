@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import queries
 from lattica.functions import algebra, arrays, local
-from lattica.operators import linkpred, matrix, partition, vector, walk, word2vec
+from lattica.operators import closed, linkpred, matrix, partition, vector, walk, word2vec
 from lattica.operators.graph import Graph
 from lattica.params import parse
 from lattica.plans.lineage import with_row_index
@@ -282,3 +283,43 @@ def test_negatives_of_a_hub(spark):
         per.setdefault(r.u, set()).add(r.v)
     assert len(per[0]) == 199 and all(400 <= v <= 900 for v in per[0])
     assert all(len(x) <= 1 for u, x in per.items() if u)
+
+
+def test_closed_paths(spark):
+    """Counts against brute force, with hubs, loops, duplicates and far ids, and with rows cut over units and blocks and right rows over chunks."""
+    rng = np.random.default_rng(1)
+    e = [(int(a), int(b)) for a, b in rng.integers(-20, 20, (500, 2))] + [(0, x) for x in range(-40, 200)] + [(x, 0) for x in range(-40, 200)]
+    e += [(2**62, 0), (0, 2**62), (-(2**62), 2**62), (-(2**62), 0)]
+    out = {}
+    for i, j in e:
+        out.setdefault(i, set()).add(j)
+    want = {(i, j): n for i in out for j in out[i] if (n := sum(j in out.get(k, ()) for k in out[i]))}
+    df = spark.createDataFrame(e, "i bigint, j bigint")
+    for sizes in ((), (7, 11, 13, 1), (1 << 18, 1 << 21, 64, 4)):
+        rows = closed.closed_paths(df, *sizes).collect()
+        assert len(rows) == len(want) and {(r.i, r.j): r.v for r in rows} == want
+    assert closed.closed_paths(df.limit(0)).isEmpty()
+
+
+def _nodes(plan):
+    """The plan that ran, stages included."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+        yield from _nodes(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+        return
+    yield plan
+    for k in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(k))
+
+
+@pytest.mark.parametrize("name", ["masked_spgemm"])
+def test_paths_are_no_rows(spark, tmp_path, name):
+    """With 7,140 pairs and 280,840 paths through them, no operator makes more rows than twice the pairs."""
+    n = 120
+    spark.createDataFrame([(o, p) for o in range(2) for p in range(n)], "l_orderkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    got = df.collect()
+    made = [m.apply("numOutputRows").value() for x in _nodes(df._jdf.queryExecution().executedPlan()) if (m := x.metrics()).contains("numOutputRows")]
+    assert made and max(made) <= n * (n - 1)
+    paths = n * (n - 1) * (n - 2) // 6
+    assert [tuple(r) for r in got] == [(paths,)] if name == "triangle_count" else (len(got), sum(r.v for r in got)) == ((n - 1) * (n - 2) // 2, paths)
