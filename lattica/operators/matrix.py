@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.algebra import PLUS_TIMES, BinaryOp, Semiring
+from .closed import closed_paths
 
 KEY = ["i", "j"]
 #: Sides of the grid of blocks in which all nonzeros of a vector meet all.
@@ -103,17 +104,9 @@ def block_destinations(a: DataFrame, b: DataFrame, rows_per_part: int, cols_per_
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(triangles) of edges(i, j), each pair once and no loops. Edges point to the end of larger degree, so that even a hub has few out-edges,
-    and two-edge paths are made from those alone before the third edge is looked up."""
-    degree = edges.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    x = degree.select(F.col("node").alias("i"), F.col("d").alias("di"))
-    y = degree.select(F.col("node").alias("j"), F.col("d").alias("dj"))
-    low, high = F.struct("di", "i"), F.struct("dj", "j")
-    ends = edges.join(x, "i").join(y, "j").select(F.least(low, F.struct(F.col("dj").alias("di"), F.col("j").alias("i"))).alias("s"), F.greatest(F.struct(F.col("di").alias("dj"), F.col("i").alias("j")), high).alias("t"))
-    out = ends.select(F.col("s.i").alias("s"), F.col("t.j").alias("t"), F.col("t.dj").alias("d"))
-    one, two = out.select("s", F.col("t").alias("a"), F.col("d").alias("da")), out.select("s", F.col("t").alias("b"), F.col("d").alias("db"))
-    paths = one.join(two, "s").where(F.struct("da", "a") < F.struct("db", "b")).select("a", "b")
-    return paths.join(out.select(F.col("s").alias("a"), F.col("t").alias("b")), ["a", "b"]).agg(F.count(F.lit(1)).alias("triangles"))
+    """(triangles) of edges(i, j), in either direction and as often as they come: entries from the lesser to the greater end that close a path."""
+    up = edges.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return closed_paths(up).agg(F.coalesce(F.sum("v"), F.lit(0)).alias("triangles"))
 
 
 def stored_rows(a: DataFrame) -> int:

@@ -260,7 +260,7 @@ def common_neighbors(spark, d):
 
 @query(f"WITH {PP_SQL} SELECT count(*) AS triangles FROM pp a JOIN pp b ON a.dst = b.src JOIN pp c ON c.src = a.src AND c.dst = b.dst")
 def triangle_count(spark, d):
-    return matrix.triangles(pp(spark, d).distinct())
+    return matrix.triangles(pp(spark, d))
 
 
 @query(f"WITH {PP_SQL} SELECT a.src AS i, b.dst AS j, CAST(count(*) AS DOUBLE) AS v FROM pp a JOIN pp b ON a.dst = b.src JOIN pp c ON c.src = a.src AND c.dst = b.dst GROUP BY 1, 2")

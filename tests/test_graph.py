@@ -299,6 +299,9 @@ def test_closed_paths(spark):
         rows = closed.closed_paths(df, *sizes).collect()
         assert len(rows) == len(want) and {(r.i, r.j): r.v for r in rows} == want
     assert closed.closed_paths(df.limit(0)).isEmpty()
+    near = {x: {b if a == x else a for a, b in e if x in (a, b)} - {x} for x in out}
+    assert matrix.triangles(df).head().triangles == sum(len(near[a] & near[b]) for a in near for b in near[a]) // 6
+    assert matrix.triangles(df.limit(0)).head().triangles == 0
 
 
 def _nodes(plan):
@@ -312,7 +315,7 @@ def _nodes(plan):
         yield from _nodes(plan.children().apply(k))
 
 
-@pytest.mark.parametrize("name", ["masked_spgemm"])
+@pytest.mark.parametrize("name", ["triangle_count", "masked_spgemm"])
 def test_paths_are_no_rows(spark, tmp_path, name):
     """With 7,140 pairs and 280,840 paths through them, no operator makes more rows than twice the pairs."""
     n = 120
