@@ -8,10 +8,10 @@ gradients add up.
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import cosine, doubles
-from ..plans.lineage import with_row_index
+from ..plans.lineage import staged, with_row_index
 
 #: Cells of one weight table at most; it is broadcast.
 MAX_CELLS = 1 << 28
@@ -58,30 +58,40 @@ def vocabulary(tokens: DataFrame, min_count: int) -> DataFrame:
     return with_row_index(counts, F.desc("cn"), F.asc("word"), name="idx").select("word", "cn", "idx")
 
 
-def huffman(counts: list[int]) -> tuple[list[list[int]], list[list[int]]]:
+def huffman_paths(counts: np.ndarray) -> tuple[Ragged, Ragged]:
     """(codes, points) of descending counts: the path's bits and inner nodes from the root. A tie takes the older inner node."""
     n = len(counts)
     if n < 2:
-        return [[0]] * n, [[0]] * n
-    parent, bit = [0] * (2 * n - 1), [0] * (2 * n - 1)
-    # leaves ascend from the end of the list; an inner node wins a tie
-    heap = [(c, 1, n - 1 - i, i) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
+        return tuple(Ragged(np.zeros(n, t), np.arange(n + 1)) for t in ("u1", "i4"))
+    parent, weight, leaf, inner = [0] * (2 * n - 1), counts.tolist() + [0] * (n - 1), n - 1, n
+    bit = np.zeros(2 * n - 1, "u1")
+    # leaves ascend from the end of the list and inner nodes as they are made; an inner node wins a tie
     for k in range(n, 2 * n - 1):
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        parent[a[3]] = parent[b[3]] = k
-        bit[b[3]] = 1
-        heapq.heappush(heap, (a[0] + b[0], 0, k, k))
-    codes, points = [], []
-    for i in range(n):
-        code, point, at = [], [], i
-        while at != 2 * n - 2:
-            code.append(bit[at])
-            at = parent[at]
-            point.append(at - n)
-        codes.append(code[::-1])
-        points.append(point[::-1])
-    return codes, points
+        for right in (0, 1):
+            if inner < k and (leaf < 0 or weight[inner] <= weight[leaf]):
+                at, inner = inner, inner + 1
+            else:
+                at, leaf = leaf, leaf - 1
+            parent[at] = k
+            weight[k] += weight[at]
+            bit[at] = right
+    up, root, at, depth = np.array(parent), 2 * n - 2, np.arange(n), np.zeros(n, "i8")
+    while (below := at != root).any():
+        depth += below
+        at = np.where(below, up[at], root)
+    begin = np.append(0, np.cumsum(depth))
+    codes, points = np.zeros(begin[-1], "u1"), np.zeros(begin[-1], "i4")
+    word, at, to = np.arange(n), np.arange(n), begin[1:] - 1
+    while len(word):
+        codes[to], points[to] = bit[at], up[at] - n
+        left = up[at] != root
+        word, at, to = word[left], up[at][left], to[left] - 1
+    return Ragged(codes, begin), Ragged(points, begin)
+
+
+def huffman(counts: list[int]) -> tuple[list[list[int]], list[list[int]]]:
+    """huffman_paths() as lists."""
+    return tuple([x[k].tolist() for k in range(len(counts))] for x in huffman_paths(np.array(counts, "i8")))
 
 
 def keep_probability(vocab: DataFrame, sample: float) -> DataFrame:
@@ -120,10 +130,6 @@ class Ragged:
     flat: np.ndarray
     begin: np.ndarray
 
-    @classmethod
-    def of(cls, lists: list[list[int]]) -> Ragged:
-        return cls(np.fromiter((x for own in lists for x in own), "i4"), np.cumsum([0, *map(len, lists)]))
-
     def __getitem__(self, k: int) -> np.ndarray:
         return self.flat[self.begin[k] : self.begin[k + 1]]
 
@@ -143,7 +149,7 @@ class _Weights:
         x = np.atleast_2d(h)
         grad = np.zeros_like(x)
         if c.hs and len(points[word]):
-            at, want = np.asarray(points[word]), 1 - np.asarray(codes[word])
+            at, want = np.asarray(points[word]), 1 - np.asarray(codes[word], 'i4')
             out = self.syn1[at]
             f = x @ out.T
             g = np.where(np.abs(f) < 6, (want - _sigmoid(np.clip(f, -6, 6))) * lr, 0).astype("f4")
@@ -163,18 +169,55 @@ class _Weights:
         return grad.reshape(h.shape)
 
 
-def _train(sentences: Iterator[list[int]], w: _Weights, c: Config, counts: np.ndarray, codes: Ragged, points: Ragged, rng: np.random.Generator) -> None:
+def _skip_gram_tree(s: np.ndarray, reaches: np.ndarray, w: _Weights, codes: Ragged, points: Ragged, lr: float) -> None:
+    """learn() over the windows of one sentence, for inputs one by one and a tree alone, in as few calls as a window can have: the target's
+    own row goes along with a gradient of zero, and the gradients of a word that a window has twice add up by a product."""
+    n = len(s)
+    if n < 2:
+        return
+    at = np.arange(n)
+    low, high = np.maximum(at - reaches, 0), np.minimum(at + reaches + 1, n)
+    order = np.argsort(s, kind="stable")
+    again = np.full(n, n)
+    same = s[order[1:]] == s[order[:-1]]
+    again[order[:-1][same]] = order[1:][same]
+    twice = np.minimum.accumulate(again[::-1])[::-1][low] < high  # a word that stands at low or behind it comes again before high
+    begin, end = points.begin[s], points.begin[s + 1]
+    syn0, syn1, half = w.syn0, w.syn1, np.float32(0.5)
+    for i, lo, hi, a, b, several in zip(at.tolist(), low.tolist(), high.tolist(), begin.tolist(), end.tolist(), twice.tolist(), strict=True):
+        near, path = s[lo:hi], points.flat[a:b]
+        x, out = syn0.take(near, 0), syn1.take(path, 0)
+        f = x.dot(out.T)
+        g = np.tanh(f * half)
+        g += codes.flat[a:b]  # codes as -1 and 1: the sigmoid is (1 + tanh(f / 2)) / 2
+        g *= np.float32(-0.5 * lr)
+        g *= np.abs(f) < 6
+        g[i - lo] = 0
+        grad = g.dot(out)
+        syn1[path] = out + g.T.dot(x)
+        syn0[near] = x + ((near[:, None] == near).astype("f4").dot(grad) if several else grad)
+    size = end - begin
+    w.touched[0][s] = True
+    w.touched[1][points.flat[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
+
+
+def _train(sentences: Iterator[list[int] | np.ndarray], w: _Weights, c: Config, counts: np.ndarray, codes: Ragged, points: Ragged, rng: np.random.Generator) -> None:
     total = int(counts.sum())
+    if c.hs and not c.negative and not c.cbow:
+        codes = Ragged(2 * codes.flat.astype("i1") - 1, codes.begin)
     edges = np.cumsum(counts.astype(float) ** 0.75)
     draw = lambda n: np.searchsorted(edges, rng.random(n) * edges[-1], "right")
     ratio = counts / (c.sample * total) if c.sample else None
     seen = 0
     for s in sentences:
         seen += len(s)
-        lr, s = rate(c, seen, total), np.array(s)
+        lr, s = rate(c, seen, total), np.array(s, "i4")
         if ratio is not None:
             s = s[np.sqrt(ratio[s] + 1) / ratio[s] >= rng.random(len(s))]
         reaches = c.window - rng.integers(c.window, size=len(s))
+        if c.hs and not c.negative and not c.cbow:
+            _skip_gram_tree(s, reaches, w, codes, points, lr)
+            continue
         for i, (word, reach) in enumerate(zip(s.tolist(), reaches.tolist(), strict=True)):
             near = np.concatenate((s[max(0, i - reach) : i], s[i + 1 : i + 1 + reach]))
             if not len(near):
@@ -246,54 +289,71 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
 def fit(tokens: DataFrame, c: Config) -> Model:
     """Trains on tokens(tokens array<string>)."""
     spark = tokens.sparkSession
-    vocab = vocabulary(tokens, c.min_count).orderBy("idx").limit(MAX_CELLS // c.vector_size + 1).select("word", "cn").toArrow()
+    vocab = vocabulary(tokens, c.min_count).where(F.col("idx") <= MAX_CELLS // c.vector_size).orderBy("idx").select("word", "cn").toArrow()
     n, d = len(vocab), c.vector_size
     if not n:
         raise ValueError("the vocabulary is empty")
     if n * d > MAX_CELLS:
         raise ValueError("vocabulary x vector_size is too large to share with every task")
     words, counts = vocab["word"].to_pylist(), vocab["cn"].to_numpy()
-    codes, points = map(Ragged.of, huffman(counts.tolist()))
-    shared = spark.sparkContext.broadcast(({x: i for i, x in enumerate(words)}, counts, codes, points))
+    codes, points = huffman_paths(counts)
+    index, shared = (spark.sparkContext.broadcast(x) for x in ({x: i for i, x in enumerate(words)}, (counts, codes, points)))
     unused = np.zeros((0, d), "f4")
     tables = [((np.random.default_rng(c.seed).random((n, d)) - 0.5) / d).astype("f4"), np.zeros((n, d), "f4") if c.hs else unused, np.zeros((n, d), "f4") if c.negative else unused]
-    corpus = tokens.select("tokens").repartition(c.partitions)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = index.value.get
+        for b in batches:
+            lists = b.column(0).fill_null([])
+            ids = np.fromiter(map(of, lists.flatten().to_pylist(), repeat(-1)), "<i4")
+            known = [x[x >= 0].tobytes() for x in np.split(ids, np.cumsum(lists.value_lengths().to_numpy())[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(known, pa.binary())], ["ids"])
+
+    # ids are shuffled, not words; they are read once for each iteration
+    corpus = tokens.select("tokens").mapInArrow(encode, "ids binary").repartition(c.partitions)
+    if c.iterations > 1:
+        corpus = staged(corpus).repartition(c.partitions)
     for k in range(c.iterations):
         weights = spark.sparkContext.broadcast(tables)
 
         def train(batches: Iterator[pa.RecordBatch], k: int = k, weights=weights) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            index, counts, codes, points = shared.value
+            counts, codes, points = shared.value
             w = _Weights(*(t.copy() for t in weights.value))
 
-            def sentences() -> Iterator[list[int]]:
+            def sentences() -> Iterator[np.ndarray]:
                 for b in batches:
-                    for words in b.column(0).to_pylist():
-                        known = [index[x] for x in words or () if x in index]
+                    for ids in b.column(0).to_pylist():
+                        known = np.frombuffer(ids, "<i4")
                         for i in range(0, len(known), c.max_sentence):
                             yield known[i : i + c.max_sentence]
 
             _train(sentences(), w, c, counts, codes, points, np.random.default_rng([c.seed, k, TaskContext.get().partitionId()]))
             for t, (touched, table) in enumerate(zip(w.touched, (w.syn0, w.syn1, w.syn1neg), strict=True)):
-                rows = np.flatnonzero(touched)
-                for lo in range(0, len(rows), 4096):
-                    at = rows[lo : lo + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array(t * n + at), _lists(table[at])], ["at", "v"])
-
-        changed = corpus.mapInArrow(train, "at bigint, v array<float>")
-        mean = changed.groupBy("at").agg(vector_to_array(Summarizer.mean(array_to_vector("v")), "float32").alias("v"))
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                cells = b.column(1).flatten().to_numpy().astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (b.column(0).to_numpy().astype("<i8"), cells)], ["at", "v"])
-
-        for r in mean.mapInArrow(pack, "at binary, v binary").toLocalIterator():
+                rows = np.flatnonzero(touched) + t * n
+                for own in np.split(rows, np.flatnonzero(np.diff(rows // 4096)) + 1) if len(rows) else ():
+                    cells = (x.tobytes() for x in (own.astype("<i8"), table[own - t * n].astype("<f4")))
+                    yield pa.RecordBatch.from_arrays([pa.array([own[0] // 4096]), *(pa.array([x], pa.binary()) for x in cells)], ["block", "at", "v"])
+
+        def average(parts: pa.Table) -> pa.Table:
+            at = np.concatenate([np.frombuffer(x, "<i8") for x in parts["at"].to_pylist()])
+            rows, to = np.unique(at, return_inverse=True)
+            total, first = np.zeros((len(rows), d)), 0
+            for x in parts["v"].to_pylist():  # no row twice in one of them
+                own = np.frombuffer(x, "<f4").reshape(-1, d)
+                total[to[first : first + len(own)]] += own
+                first += len(own)
+            mean = (total / np.bincount(to)[:, None]).astype("<f4")
+            return pa.table({"at": pa.array([rows.astype("<i8").tobytes()], pa.binary()), "v": pa.array([mean.tobytes()], pa.binary())})
+
+        changed = corpus.mapInArrow(train, "block bigint, at binary, v binary")
+        for r in changed.groupBy("block").applyInArrow(average, "at binary, v binary").toLocalIterator():
             at, v = np.frombuffer(r.at, "<i8"), np.frombuffer(r.v, "<f4").reshape(-1, d)
             for t, table in enumerate(tables):
                 own = at // n == t
                 table[at[own] % n] = v[own]
         weights.destroy()
+    index.destroy()
     shared.destroy()
     return Model(spark.createDataFrame(pa.table({"word": words, "vector": _lists(tables[0])}), "word string, vector array<float>"), d)

@@ -1,3 +1,5 @@
+import heapq
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -326,3 +328,47 @@ def test_paths_are_no_rows(spark, tmp_path, name):
     assert made and max(made) <= n * (n - 1)
     paths = n * (n - 1) * (n - 2) // 6
     assert [tuple(r) for r in got] == [(paths,)] if name == "triangle_count" else (len(got), sum(r.v for r in got)) == ((n - 1) * (n - 2) // 2, paths)
+
+
+def test_tree_alone_steps_as_any_window(monkeypatch):
+    """Skip-gram with a tree alone, in its few calls, gives learn()'s tables, rows that were changed and draws, with words twice in a window and far values."""
+    rng = np.random.default_rng(0)
+    counts = np.sort(rng.integers(5, 500, 60))[::-1].copy()
+    sentences = [rng.integers(60, size=n).tolist() for n in (0, 1, 2, 40, 300)]
+    codes, points = word2vec.huffman_paths(counts)
+    for scale in (0.1, 4.0):  # products beyond 6 have no gradient
+        c, start, calls = word2vec.Config(vector_size=8, sample=0.01), rng.normal(0, scale, (2, 60, 8)).astype("f4"), []
+        want, got = (word2vec._Weights(*start.copy(), np.zeros((0, 8), "f4")) for _ in range(2))
+        monkeypatch.setattr(word2vec._Weights, "learn", lambda *a, learn=word2vec._Weights.learn: calls.append(1) or learn(*a))
+        draws, total = np.random.default_rng(2), int(counts.sum())
+        ratio, seen = counts / (c.sample * total), 0
+        for own in sentences:
+            seen += len(own)
+            s = np.array(own, "i4")
+            s = s[np.sqrt(ratio[s] + 1) / ratio[s] >= draws.random(len(s))]
+            reaches = c.window - draws.integers(c.window, size=len(s))
+            for i, r in enumerate(reaches.tolist()):
+                near = np.concatenate((s[max(0, i - r) : i], s[i + 1 : i + 1 + r]))
+                if len(near):
+                    np.add.at(want.syn0, near, want.learn(want.syn0[near], c, s[i], codes, points, None, word2vec.rate(c, seen, total)))
+                    want.touched[0][near] = True
+        stepped = len(calls)
+        word2vec._train(iter(sentences), got, c, counts, codes, points, np.random.default_rng(2))
+        assert stepped and len(calls) == stepped  # no call of learn() for a window
+        assert np.allclose(got.syn0, want.syn0, atol=1e-4) and np.allclose(got.syn1, want.syn1, atol=1e-4) and not np.allclose(got.syn1, start[1])
+        assert all((a == b).all() for a, b in zip(got.touched, want.touched, strict=True))
+        monkeypatch.undo()
+
+
+def test_tree_of_a_large_vocabulary():
+    """The paths are a prefix code of least cost, against a plain heap."""
+    counts = np.sort(np.random.default_rng(4).zipf(1.3, 3000).clip(max=10**6))[::-1].copy()
+    codes, points = word2vec.huffman_paths(counts)
+    heap, cost = counts.tolist(), 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        heapq.heappush(heap, two := heapq.heappop(heap) + heapq.heappop(heap))
+        cost += two
+    size = np.diff(codes.begin)
+    assert (size * counts).sum() == cost and abs((0.5**size).sum() - 1) < 1e-9 and (points.flat[points.begin[:-1]] == len(counts) - 2).all()
+    assert len({bytes(codes[k]) for k in range(len(counts))}) == len(counts)
